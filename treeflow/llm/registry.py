@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import packing, sharding, warc
 from .common import table
 
 
+def op3_warc(spark, sf_dir):
+    return warc.read_records(warc.write_records(table(spark, sf_dir, "pages")))
+
+
 def op4_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op3_warc": OP3}
+
+
+OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS n, sha256(h) AS s FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY s) AS m FROM d)
+SELECT f.page_id, n AS payload_bytes, s AS payload_digest,
+       CASE WHEN n >= 100 AND f.page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND f.page_id <> m THEN m END AS refers_to,
+       q.url AS target_uri, CAST(CASE WHEN n >= 100 AND f.page_id <> m THEN 1 ELSE greatest(1, ceil(n / 262144.0)) END AS INTEGER) AS n_chunks
+FROM f JOIN (SELECT page_id, any_value(url) AS url FROM pages GROUP BY page_id) q ON f.page_id = q.page_id
+"""
