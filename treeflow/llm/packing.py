@@ -64,7 +64,9 @@ class Encoder:
         return found
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk[-1] in ".," and chunk[:-1].isalpha():
+        if "Σ" in chunk:  # lower() knows a final sigma, the tokenizer doesn't
+            found = self._plain(chunk)
+        elif chunk[-1] in ".," and chunk[:-1].isalpha():
             found = self._word(chunk[:-1].lower()) + self._word(chunk[-1])
         elif chunk.isalpha():
             found = self._word(chunk.lower())
