@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, warc
+from . import line_cleaning, packing, sharding, warc
 from .common import table
 
 
@@ -18,12 +18,16 @@ def op7_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_line_cleaning(spark, sf_dir):
+    return line_cleaning.clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict:
-    return {"op3_warc": OP3}
+    return {"op3_warc": OP3, "op9_line_cleaning": line_cleaning.oracle()}
 
 
 OP3 = """
