@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, line_cleaning, packing, sharding, warc
+from . import language_id, line_cleaning, near_dup, packing, sharding, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op4_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dup(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
