@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import language_id, line_cleaning, near_dup, packing, sharding, warc
+from . import decontamination, language_id, line_cleaning, near_dup, packing, sharding, warc
 from .common import table
 
 
+def op1_decontamination(spark, sf_dir):
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_warc(spark, sf_dir):
     return warc.read_records(warc.write_records(table(spark, sf_dir, "pages")))
 
