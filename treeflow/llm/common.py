@@ -95,11 +95,12 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], Iterable[tuple]
     return df.mapInArrow(run, schema)
 
 
-def to_arrow(spark: SparkSession, ddl: str) -> pa.Schema:
+def to_arrow(spark: SparkSession, schema) -> pa.Schema:
+    """The Arrow schema of a Spark schema or of its DDL string."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(ddl))
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, line_cleaning, near_dup, packing, sharding, warc
+from . import decontamination, language_id, line_cleaning, near_dup, packing, pii, sharding, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op7_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark, sf_dir):
+    return pii.anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+
+
 def op9_line_cleaning(spark, sf_dir):
     return line_cleaning.clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
 
