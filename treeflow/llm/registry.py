@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, line_cleaning, near_dup, packing, pii, sharding, warc
+from . import decontamination, html_tree, language_id, line_cleaning, near_dup, packing, pii, sharding, warc
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op9_line_cleaning(spark, sf_dir):
     return line_cleaning.clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op10_html_tree(spark, sf_dir):
+    return html_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
