@@ -20,13 +20,15 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Mapping
+from array import array
+from collections.abc import Iterator, Mapping
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, map_rows, materialise
+from .common import batches, checked_broadcast, map_rows, materialise, to_arrow
 
 SEQUENCE = 2048
 #: Sequences a window: within each window the target proportions hold to a token.
@@ -35,7 +37,11 @@ END_ID = 1
 #: Sources with a queue of their own; the rest, smallest first, share ``TAIL_QUEUES`` queues.
 MAX_QUEUES = 256
 TAIL_QUEUES = 16
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 6 << 20
+TOKENS = "doc_id long, source string, part int, start long, ids binary"
+PROBES = ("a", "the", "pretokenization", "straße", "éèêç", "ñandú", "über", "ø", "qqxzj")
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -51,6 +57,15 @@ class Encoder:
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.seen: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
+        # byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on, in order
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.bytes = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own)}
+        model = self.tokenizer.model
+        self.merge = lambda w: [x.id for x in model.tokenize(w.encode().decode("latin-1").translate(self.bytes))]
+        try:  # words may go to the merges directly if that gives the tokenizer's ids
+            self.direct = all(self.merge(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in PROBES)
+        except Exception:
+            self.direct = False
 
     def _plain(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
@@ -58,7 +73,11 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            found = self._plain(word)
+            # letters below U+0250 are composed and lower already: normalising and splitting leave such a word alone
+            if self.direct and max(word) < "\u0250" and word.isalpha():
+                found = np.array(self.merge(word), self.kind).tobytes()
+            else:
+                found = self._plain(word)
             if len(self.words) < CACHE_ENTRIES:
                 self.words[word] = found
         return found
@@ -66,10 +85,10 @@ class Encoder:
     def _chunk(self, chunk: str) -> bytes:
         if "Σ" in chunk:  # lower() knows a final sigma, the tokenizer doesn't
             found = self._plain(chunk)
-        elif chunk[-1] in ".," and chunk[:-1].isalpha():
-            found = self._word(chunk[:-1].lower()) + self._word(chunk[-1])
-        elif chunk.isalpha():
-            found = self._word(chunk.lower())
+        elif chunk[-1] in ".," and (word := chunk[:-1].lower()).isalpha():
+            found = self._word(word) + self._word(chunk[-1])
+        elif (word := chunk.lower()).isalpha():
+            found = self._word(word)
         else:
             found = self._plain(chunk)
         if len(self.seen) < CACHE_ENTRIES:
@@ -81,6 +100,68 @@ class Encoder:
         return b"".join([x if (x := get(w)) is not None else self._chunk(w) for w in text.replace("\n", " ").split(" ")])
 
 
+class Batches:
+    """Ids of many texts at once: pieces are split and numbered by Arrow, looked up once a slice, and gathered by numpy."""
+
+    def __init__(self, name: str):
+        self.one = Encoder(name)
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.starts, self.lengths = bytearray(), array("q"), array("q")
+
+    def _number(self, chunk: str) -> int:
+        found = self.one._chunk(chunk) if chunk else b""
+        width = self.one.kind().itemsize
+        self.starts.append(len(self.ids) // width)
+        self.lengths.append(len(found) // width)
+        self.ids += found
+        n = self.number[chunk] = len(self.number)
+        return n
+
+    def __call__(self, texts) -> Iterator[bytes]:
+        """``texts``: an Arrow array of strings without nulls."""
+        # case of ASCII letters, and full stops and commas after letters or digits, make no difference to the ids: with
+        # them out of the way there are fewer different pieces. Where they could matter, texts stay as they are.
+        odd = pc.match_substring_regex(texts, r"İ|<\||[^\s\pL\pN][.,](\s|$)")
+        texts = pc.replace_substring(texts, "\n", " ")
+        plain = pc.replace_substring(pc.replace_substring(pc.ascii_lower(texts), ", ", " , "), ". ", " . ")
+        texts = pc.if_else(odd, texts, plain)
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(sizes):
+            end, total = at, 0
+            while end < len(sizes) and (end == at or total + sizes[end] <= SLICE_BYTES):
+                total += sizes[end]
+                end += 1
+            if total > 4 * SLICE_BYTES:  # one very long text
+                yield self.one(texts[at].as_py())
+            else:
+                yield from self._slice(texts.slice(at, end - at))
+            at = end
+
+    def _slice(self, texts) -> Iterator[bytes]:
+        if len(self.number) > CACHE_ENTRIES:
+            self.clear()
+            self.one.seen = {"": b""}
+        parts = pc.split_pattern(texts, " ")
+        bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        coded = parts.flatten().dictionary_encode()
+        get = self.number.get
+        own = np.array([n if (n := get(w)) is not None else self._number(w) for w in coded.dictionary.to_pylist()], np.int32)
+        starts, lengths, flat = np.array(self.starts, np.int32), np.array(self.lengths, np.int32), np.frombuffer(bytes(self.ids), self.one.kind)
+        chunk = own[coded.indices.to_numpy()]
+        n = lengths[chunk]
+        ends = np.cumsum(n)
+        where = np.repeat(starts[chunk] - (ends - n).astype(np.int32), n)
+        where += np.arange(len(where), dtype=np.int32)
+        ids = flat[where]
+        ends = np.concatenate([[0], ends])[bounds]
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            yield ids[a:b].tobytes()
+
+
 class Mixture:
     """Who gets the first n tokens of the whole mixture, for any n."""
 
@@ -159,22 +240,25 @@ def tokenise(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, source
     """``doc_id, source, part, start, ids``: ids as little-endian integers; start counts within (part, source)."""
     from pyspark import TaskContext
 
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")))
+    rows = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")))
 
-    def make():
-        encoder, out, part = Encoder(tokenizer), {}, TaskContext.get().partitionId()
-        end = np.array([END_ID], encoder.kind).tobytes()
+    arrow = to_arrow(docs.sparkSession, TOKENS)
 
-        def each(row):
-            doc, text, source = row
-            ids = encoder(text or "") + end
-            start = out.get(source, 0)
-            out[source] = start + len(ids) // encoder.kind().itemsize
-            yield doc, source, part, start, ids
+    def run(it):
+        encoder, out, part = Batches(tokenizer), {}, TaskContext.get().partitionId()
+        end, width = np.array([END_ID], encoder.one.kind).tobytes(), encoder.one.kind().itemsize
 
-        return each
+        def rows():
+            for batch in it:
+                for doc, source, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encoder(batch.column(1))):
+                    ids += end
+                    start = out.get(source, 0)
+                    out[source] = start + len(ids) // width
+                    yield doc, source, part, start, ids
+
+        return batches(rows(), arrow, 512)
 
-    return map_rows(rows, make, "doc_id long, source string, part int, start long, ids binary", size=512)
+    return rows.mapInArrow(run, TOKENS)
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, weights: Mapping[str, float] | None = None, sequence: int = SEQUENCE, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
