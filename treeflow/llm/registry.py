@@ -42,8 +42,14 @@ def op10_html_tree(spark, sf_dir):
     return html_tree.extract(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k.startswith("op")}
+    return {k: v for k, v in globals().items() if k.startswith("op")} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict:
