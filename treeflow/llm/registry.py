@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_tree, language_id, line_cleaning, near_dup, packing, pii, sharding, warc
+from . import decontamination, html_tree, language_id, license_scan, line_cleaning, near_dup, packing, pii, sharding, warc
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_decontamination(spark, sf_dir):
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_license_scan(spark, sf_dir):
+    return license_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark, sf_dir):
     return warc.read_records(warc.write_records(table(spark, sf_dir, "pages")))
 
