@@ -38,7 +38,7 @@ def subtree_stats(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 def delete_subtree(nodes: DataFrame, roots: DataFrame, keep_roots: bool = True) -> DataFrame:
     """``nodes`` without what is below ``roots``, and without the roots unless they are kept."""
-    return nodes.join(descendants(nodes, roots, keep_roots=not keep_roots).select("id").distinct(), "id", "left_anti")
+    return nodes.join(descendants(nodes, roots, keep_roots=not keep_roots).select("id").distinct(), "id", "left_anti").select(*nodes.columns)
 
 
 def inherit_exclusion(nodes: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def root(nodes: DataFrame) -> DataFrame:
 
 
 def by_ids(nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    return nodes.join(ids.select("id").distinct(), "id", "left_semi")
+    return nodes.join(ids.select("id").distinct(), "id", "left_semi").select(*nodes.columns)
 
 
 def excluded(nodes: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def partner(pairs: DataFrame, ids: DataFrame, of: str = "SRC") -> DataFrame:
 
 def children(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     """Rows of the children of the ids given."""
-    return nodes.join(parents.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi")
+    return nodes.join(parents.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi").select(*nodes.columns)
 
 
 def child_lists(nodes: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def sample(nodes: DataFrame, n: int = 100) -> DataFrame:
 
 def fresh(rows: DataFrame, taken: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose key isn't taken yet."""
-    return rows.join(taken.select(key).distinct(), key, "left_anti")
+    return rows.join(taken.select(key).distinct(), key, "left_anti").select(*rows.columns)
 
 
 def not_stale(rows: DataFrame, depth: int) -> DataFrame:

@@ -20,7 +20,7 @@ def insert_missing(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame
 
 
 def delete(nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    return nodes.join(ids.select("id").distinct(), "id", "left_anti")
+    return nodes.join(ids.select("id").distinct(), "id", "left_anti").select(*nodes.columns)
 
 
 def delete_pairs(pairs: DataFrame, ids: DataFrame, side: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import path_depth
 from ..operators import compare, expand
+from ..schema import NODES
 from .store import written
 
 
@@ -79,7 +80,8 @@ def reconcile(src_listing: DataFrame, dst_listing: DataFrame, failing: Callable[
     all_dst, all_pairs = union(dst), union(pairs)
     copies = all_dst.where("match_id IS NOT NULL").select(F.col("match_id").alias("id"), F.col("src_copy").alias("_copy"))
     nodes = _finish(union(src), bad).join(copies, "id", "left").withColumn("copy_status", F.coalesce("_copy", "copy_status")).drop("_copy")
-    return State(nodes, _finish(all_dst, bad).drop("match_id", "src_copy"), all_pairs, rounds)
+    columns = [f.name for f in NODES]
+    return State(nodes.select(*columns), _finish(all_dst, bad).select(*columns), all_pairs, rounds)
 
 
 def _source_level(nodes: DataFrame, listing: DataFrame, failing) -> tuple[DataFrame, int, int, list[DataFrame]]:

@@ -3,19 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructType
 
-LISTING = StructType.fromDDL("service_id string, parent_service_id string, parent_path string, path string, name string, type string, size long, mtime string")
-NODES = StructType.fromDDL(
+_KINDS = {"string": StringType(), "long": LongType(), "int": IntegerType(), "boolean": BooleanType()}
+
+
+def _struct(text: str) -> StructType:
+    """A schema from ``name kind, ...``, without a session."""
+    out = StructType()
+    for part in text.split(","):
+        name, kind = part.split()
+        out.add(name, _KINDS[kind])
+    return out
+
+
+LISTING = _struct("service_id string, parent_service_id string, parent_path string, path string, name string, type string, size long, mtime string")
+NODES = _struct(
     "side string, id string, service_id string, parent_id string, parent_service_id string, parent_path string, name string, path string, "
     "type string, size long, mtime string, depth int, traversal_status string, copy_status string, explicit_excluded boolean, inherited_excluded boolean"
 )
-PAIRS = StructType.fromDDL("src_id string, dst_id string")
-INTENTS = StructType.fromDDL("side string, id string, mode string, depth int")
-STATS = StructType.fromDDL("bucket_path string, count long")
-QUEUE_STATS = StructType.fromDDL("queue_key string, metrics_json string")
-LOGS = StructType.fromDDL("id string, timestamp string, level string, entity string, entity_id string, message string, queue string")
-ROUND_LOG = StructType.fromDDL("side string, depth int, expanded long, discovered long")
+PAIRS = _struct("src_id string, dst_id string")
+INTENTS = _struct("side string, id string, mode string, depth int")
+STATS = _struct("bucket_path string, count long")
+QUEUE_STATS = _struct("queue_key string, metrics_json string")
+LOGS = _struct("id string, timestamp string, level string, entity string, entity_id string, message string, queue string")
+ROUND_LOG = _struct("side string, depth int, expanded long, discovered long")
 
 #: Statuses that a side can have; copy statuses are the source's alone.
 TRAVERSAL = {"SRC": ("pending", "successful", "failed", "excluded"), "DST": ("pending", "successful", "failed", "not_on_src", "excluded")}
