@@ -93,11 +93,13 @@ def test_run_and_rerun(spark, tmp_path):
 
 def test_suspend_and_resume(spark, tmp_path):
     config = _config(tmp_path)
+    whole = lifecycle.migrate(spark, lifecycle.Config(str(tmp_path / "other"), config.source, config.destination))
     run = lifecycle.Run(spark, config)
-    run.shutdown()
+    run._stop.is_set = iter([False, False, True, True]).__next__
     assert run.start().wait(120) == {"suspended": True}
     assert run.state()["checkpoint"] == lifecycle.Checkpoint.TRAVERSAL_SUSPENDED.value
-    assert lifecycle.Run(spark, config).start().wait(120)["pending"] == 0
+    assert not run.store.load("src_nodes").where("traversal_status = 'pending' AND type = 'folder'").isEmpty()
+    assert lifecycle.Run(spark, config).start().wait(120) == whole
 
 
 def test_checkpoints():

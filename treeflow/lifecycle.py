@@ -141,9 +141,15 @@ class Run:
         for side, listing in (("source", src), ("destination", dst)):
             if listing.where(F.col("path") == "/").isEmpty():
                 raise ValueError(f"the {side} has no root")
-        self._save(Checkpoint.TRAVERSAL_RUNNING, {})
-        # listings are deterministic, so a resumed run finds finished levels again with the same ids
-        done = engine.reconcile(src, dst, stop=lambda depth: self._stop.is_set())
+        self._suspended = self._tables()  # paths of the version now current; the next ones don't overwrite it
+        self._save(Checkpoint.TRAVERSAL_RUNNING, self._suspended)
+        stop = lambda depth: self._stop.is_set()
+        if checkpoint == Checkpoint.TRAVERSAL_SUSPENDED.value:  # go on at the lowest pending depth
+            t = self._suspended
+            before = engine.State(t["src_nodes"], t["dst_nodes"], t["pairs"], [tuple(r) for r in self.state().get("rounds", [])])
+            done = engine.advance(before, engine.laid_out(src), engine.laid_out(dst), stop=stop)
+        else:
+            done = engine.reconcile(src, dst, stop=stop)
         tables = {"src_nodes": done.src, "dst_nodes": done.dst, "pairs": done.pairs}
         rounds = [list(r) for r in done.rounds]
         if self._stop.is_set():

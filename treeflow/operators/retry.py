@@ -28,18 +28,13 @@ def invalidate(s: engine.State, src_ids: DataFrame) -> engine.State:
 
 def sweep(s: engine.State, src_listing: DataFrame, dst_listing: DataFrame) -> engine.State:
     """Expand what is pending, at any level, and compare again. Ids are deterministic, so what is found again keeps its id;
-    nodes that aren't below a pending folder stay as they are. Excluded nodes aren't pending, so they are skipped."""
-    src_open = s.src.where("traversal_status = 'pending' AND type = 'folder'").select("id")
-    partners = s.pairs.join(src_open.withColumnRenamed("id", "src_id"), "src_id", "left_semi").select(F.col("dst_id").alias("id"))
-    dst_open = s.dst.where("traversal_status = 'pending' AND type = 'folder'").select("id").unionByName(partners).distinct()
-    again = engine.reconcile(src_listing, dst_listing)
-    src_below = closure.descendants(again.src, src_open).select("id").distinct()
-    dst_below = closure.descendants(again.dst, dst_open).select("id").distinct()
-    src = state.upsert(s.src, again.src.join(src_below, "id", "left_semi"))
-    dst = state.upsert(s.dst, again.dst.join(dst_below, "id", "left_semi"))
-    fresh = again.pairs.join(src_below.withColumnRenamed("id", "src_id"), "src_id", "left_semi")
-    pairs = s.pairs.join(fresh.select("src_id"), "src_id", "left_anti").select("src_id", "dst_id").unionByName(fresh.select("src_id", "dst_id"))
-    return engine.State(written(src, "src"), written(dst, "dst"), written(pairs, "pairs"), again.rounds)
+    nodes that aren't below a pending folder stay as they are. Excluded nodes aren't pending, so they are skipped. The pair
+    of a pending source folder is compared again too."""
+    open_src = s.src.where("traversal_status = 'pending' AND type = 'folder'").select(F.col("id").alias("src_id"))
+    partners = s.pairs.join(open_src, "src_id", "left_semi").select(F.col("dst_id").alias("id"))
+    started = engine.State(s.src, mark_pending(s.dst, partners), s.pairs, s.rounds)
+    out = engine.advance(started, engine.laid_out(src_listing), engine.laid_out(dst_listing))
+    return engine.State(written(out.src, "src"), written(out.dst, "dst"), written(out.pairs, "pairs"), out.rounds)
 
 
 def ids_of(side: str, paths: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ on_state(
 
 @on_state("t02_round_log", """
 SELECT 'SRC' AS side, depth, CAST(count(*) FILTER (type = 'folder') AS BIGINT) AS expanded,
-  (SELECT count(*) FROM src c WHERE c.depth = p.depth + 1) AS discovered FROM src p WHERE depth <= 5 GROUP BY depth
+  (SELECT count(*) FROM src c WHERE c.depth = p.depth + 1) AS discovered FROM src p WHERE depth <= 4 GROUP BY depth
 UNION ALL SELECT 'DST', depth, count(*) FILTER (type = 'folder' AND traversal_status <> 'not_on_src'), (SELECT count(*) FROM dst c WHERE c.depth = p.depth + 1) FROM dst p
   WHERE depth <= 4 GROUP BY depth""")
 def _t02(s, spark, sf):

@@ -1,8 +1,9 @@
 """The level loop: source level N+1 is written before destination level N is compared.
 
 Each level is one join of the frontier with the listing of the level below (listings are laid out by path depth, so a level
-reads its own part only), written to the shared folder. Statuses that a whole level shares are derived when the state is
-read instead of rewriting rows.
+reads its own part only), written to the shared folder. The loop starts at the lowest pending depth of a state, so a fresh
+run, a resumed one and a retry sweep are the same: what isn't below a pending folder is never listed again. Statuses that
+whole levels share are set once, at the end.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from ..operators import compare, expand
 from ..schema import NODES
 from .store import written
 
+COLUMNS = [f.name for f in NODES]
+
 
 @dataclass
 class State:
@@ -28,68 +31,89 @@ class State:
     rounds: list[tuple[str, int, int, int]] = field(default_factory=list)  # side, depth, folders expanded, children found
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def laid_out(listing: DataFrame) -> DataFrame:
     """A listing with its path depth as partition column."""
     return written(listing.withColumn("_depth", path_depth(F.col("path"))), "listing", "_depth")
 
 
-def _finish(nodes: DataFrame, failed: DataFrame | None) -> DataFrame:
-    """Expanded folders are successful, those whose listing failed are failed."""
+def seed(src_listing: DataFrame, dst_listing: DataFrame) -> State:
+    """Two pending roots, paired."""
+    src, dst = (written(expand.root_node(side, listing), side) for side, listing in (("SRC", src_listing), ("DST", dst_listing)))
+    return State(src, dst, src.select(F.col("id").alias("src_id")).crossJoin(dst.select(F.col("id").alias("dst_id"))))  # one row each
+
+
+def reconcile(src_listing: DataFrame, dst_listing: DataFrame, failing: Callable[[DataFrame], DataFrame] | None = None, stop: Callable[[int], bool] | None = None) -> State:
+    """Expand both trees from their roots and compare them. ``failing`` picks, of a frontier, the folders whose listing
+    fails for good; ``stop`` is asked before each level (suspend)."""
+    src_list, dst_list = laid_out(src_listing), laid_out(dst_listing)
+    return advance(seed(src_list.where("_depth = 0"), dst_list.where("_depth = 0")), src_list, dst_list, failing, stop)
+
+
+def advance(state: State, src_list: DataFrame, dst_list: DataFrame, failing: Callable[[DataFrame], DataFrame] | None = None, stop: Callable[[int], bool] | None = None) -> State:
+    """Expand and compare what is pending in ``state``. The listings are laid out by depth."""
+    both = state.src.select("depth", "traversal_status", "type").unionByName(state.dst.select("depth", "traversal_status", "type"))
     waiting = (F.col("traversal_status") == "pending") & (F.col("type") == "folder")
-    if failed is not None:
-        nodes = nodes.join(failed.select("id", F.lit(True).alias("_failed")), "id", "left")
-        status = F.when(waiting, F.when(F.col("_failed"), F.lit("failed")).otherwise(F.lit("successful")))
-        return nodes.withColumn("traversal_status", F.coalesce(status, "traversal_status")).drop("_failed")
-    return nodes.withColumn("traversal_status", F.when(waiting, F.lit("successful")).otherwise(F.col("traversal_status")))
-
-
-def reconcile(src_listing: DataFrame, dst_listing: DataFrame, failing: Callable[[DataFrame], DataFrame] | None = None, stop: Callable[[int], bool] | None = None, prepared: bool = False) -> State:
-    """Expand both trees and compare them. ``failing`` picks, of a frontier, the folders whose listing fails for good;
-    ``stop`` is asked before each level (suspend)."""
-    src_list, dst_list = (src_listing, dst_listing) if prepared else (laid_out(src_listing), laid_out(dst_listing))
-    level = written(expand.root_node("SRC", src_list.where("_depth = 0")), "src")
-    dst_level = written(expand.root_node("DST", dst_list.where("_depth = 0")).withColumns({"match_id": F.lit(None).cast("string"), "src_copy": F.lit(None).cast("string")}), "dst")
-    root_pair = level.select(F.col("id").alias("src_id")).crossJoin(dst_level.select(F.col("id").alias("dst_id")))  # one row
-    src, dst, pairs, rounds, failed = [level], [dst_level], [root_pair], [], []
-    depth, src_open, dst_open = 0, True, True
-    while (src_open or dst_open) and not (stop and stop(depth)):
-        if src_open:
-            level, n, found, bad = _source_level(src[depth], src_list.where(F.col("_depth") == depth + 1), failing)
-            src.append(level)
+    first, last, known = both.agg(F.min(F.when(waiting, F.col("depth"))), F.max(F.when(waiting, F.col("depth"))), F.max("depth")).first()
+    if first is None:
+        return state
+    src_new, dst_new, pairs_new, failed, rounds, depth = [], [], [], [], list(state.rounds), first
+
+    def frontier(old: DataFrame, new: list[DataFrame]) -> DataFrame:
+        parts = []
+        if depth <= last:
+            kept = old.where(F.col("depth") == depth)
+            parts.append(kept.join(new[-1].select("id"), "id", "left_anti").select(*old.columns) if new else kept)
+        if new:
+            parts.append(new[-1].select(*COLUMNS))
+        return expand.frontier(_union([p.select(*COLUMNS) for p in parts]))
+
+    while not (stop and stop(depth)):
+        src_front, dst_front = frontier(state.src, src_new), frontier(state.dst, dst_new)
+        n_src, n_dst = src_front.count(), dst_front.count()
+        if not n_src and not n_dst and depth > last:
+            break
+        if failing is not None:
+            bad = [failing(f).select("id") for f in (src_front, dst_front)]
             failed += bad
-            rounds.append(("SRC", depth, n, found))
-            src_open = found > 0
-        if dst_open:
-            above = ready = expand.frontier(dst[depth])
-            if failing is not None:
-                bad = failing(above).select("id")
-                failed.append(bad)
-                ready = above.join(bad, "id", "left_anti")
-            actual = expand.expand(ready, dst_list.where(F.col("_depth") == depth + 1), "DST")
-            matched = ready.join(pairs[-1], F.col("id") == F.col("dst_id")).select("dst_id", "src_id")
-            kids = src[depth + 1] if depth + 1 < len(src) else src[depth].limit(0)
-            dst_level = written(compare.compare_level(actual, matched, kids), "dst")
-            found, n = dst_level.count(), above.count()
-            dst.append(dst_level)
-            pairs.append(dst_level.where("match_id IS NOT NULL").select(F.col("match_id").alias("src_id"), F.col("id").alias("dst_id")))
-            rounds.append(("DST", depth, n, found))
-            dst_open = not expand.frontier(dst_level).isEmpty()
+            src_front, dst_front = (f.join(b, "id", "left_anti").select(*COLUMNS) for f, b in zip((src_front, dst_front), bad))
+        kids = written(expand.expand(src_front, src_list.where(F.col("_depth") == depth + 1), "SRC"), "src")
+        actual = expand.expand(dst_front, dst_list.where(F.col("_depth") == depth + 1), "DST")
+        pairs = pairs_new[-1:] + ([state.pairs.select("src_id", "dst_id")] if depth <= last else [])
+        matched = dst_front.select(F.col("id").alias("dst_id")).join(_union(pairs).distinct(), "dst_id")
+        expected = kids
+        if depth < known:  # source children that weren't listed again
+            expected = kids.unionByName(state.src.where(F.col("depth") == depth + 1).join(kids.select("id"), "id", "left_anti").select(*COLUMNS))
+        found = written(compare.compare_level(actual, matched, expected), "dst")
+        src_new.append(kids)
+        dst_new.append(found)
+        pairs_new.append(found.where("match_id IS NOT NULL").select(F.col("match_id").alias("src_id"), F.col("id").alias("dst_id")))
+        rounds += [(side, depth, n, df.count()) for side, n, df in (("SRC", n_src, kids), ("DST", n_dst, found)) if n]
         depth += 1
-    union = lambda parts: reduce(DataFrame.unionByName, parts)
-    bad = union(failed) if failed else None
-    all_dst, all_pairs = union(dst), union(pairs)
-    copies = all_dst.where("match_id IS NOT NULL").select(F.col("match_id").alias("id"), F.col("src_copy").alias("_copy"))
-    nodes = _finish(union(src), bad).join(copies, "id", "left").withColumn("copy_status", F.coalesce("_copy", "copy_status")).drop("_copy")
-    columns = [f.name for f in NODES]
-    return State(nodes.select(*columns), _finish(all_dst, bad).select(*columns), all_pairs, rounds)
-
-
-def _source_level(nodes: DataFrame, listing: DataFrame, failing) -> tuple[DataFrame, int, int, list[DataFrame]]:
-    folders = expand.frontier(nodes)
-    bad = []
-    open_folders = folders
-    if failing is not None:
-        bad = [failing(folders).select("id")]
-        open_folders = folders.join(bad[0], "id", "left_anti")
-    kids = written(expand.expand(open_folders, listing, "SRC"), "src")
-    return kids, folders.count(), kids.count(), bad
+    if not src_new:
+        return state
+    bad = _union(failed) if failed else None
+    kids, found, pairs = _union(src_new), _union(dst_new), _union(pairs_new)
+    copies = found.where("match_id IS NOT NULL").select(F.col("match_id").alias("id"), F.col("src_copy").alias("_copy"))
+    src = _finish(_replaced(state.src, kids), bad, depth).join(copies, "id", "left").withColumn("copy_status", F.coalesce("_copy", "copy_status"))
+    dst = _finish(_replaced(state.dst, found), bad, depth)
+    kept = state.pairs.join(pairs.select("src_id"), "src_id", "left_anti").join(pairs.select("dst_id"), "dst_id", "left_anti")
+    return State(src.select(*COLUMNS), dst.select(*COLUMNS), kept.select("src_id", "dst_id").unionByName(pairs), rounds)
+
+
+def _replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Old nodes that weren't found again, and the new ones."""
+    return old.join(new.select("id"), "id", "left_anti").select(*COLUMNS).unionByName(new.select(*COLUMNS))
+
+
+def _finish(nodes: DataFrame, failed: DataFrame | None, depth: int) -> DataFrame:
+    """Folders above ``depth`` have been expanded: they are successful, or failed if their listing was."""
+    done = (F.col("traversal_status") == "pending") & (F.col("type") == "folder") & (F.col("depth") < depth)
+    status = F.lit("successful")
+    if failed is not None:
+        nodes = nodes.join(failed.select("id", F.lit(True).alias("_failed")), "id", "left")
+        status = F.when(F.col("_failed"), F.lit("failed")).otherwise(status)
+    return nodes.withColumn("traversal_status", F.when(done, status).otherwise(F.col("traversal_status"))).select(*COLUMNS)
