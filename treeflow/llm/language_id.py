@@ -6,8 +6,8 @@ language whose codeword has the smallest sum of exponential losses, each bit wei
 for that language under leave-one-out, wins. ``score`` is the winner's share of the softmax of negative losses; a text
 is ``ambiguous`` when the runner-up comes within ``MARGIN`` of the winner.
 
-Training takes at most ``PER_LANGUAGE`` labelled documents a language, chosen by hash, for at most ``MAX_LANGUAGES``
-languages (the most frequent); features come from whole texts. Prediction sees the text only.
+Training takes at most ``PER_LANGUAGE`` labelled documents a language and ``SAMPLE`` in all, chosen by hash, for at most
+``MAX_LANGUAGES`` languages (the most frequent); features come from whole texts. Prediction sees the text only.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any labelled document all are
 ``und``; with one language every text with a letter has it, with score 1; repeated rows get equal results.
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-PER_LANGUAGE = 600
+PER_LANGUAGE = 300
 MAX_LANGUAGES = 100
+#: Documents in all, so that the training matrix (20 kB a document) has a bound at any number of languages.
+SAMPLE = 3000
 TRIGRAMS, BIGRAMS = 4096, 1024
 RIDGE = 0.05
 MARGIN = 0.02
@@ -94,16 +96,17 @@ class Model:
         if len(langs) < 2:
             return
         self.mean = x.mean(0)
-        x = x - self.mean
-        target = self.code[y].astype(float)
+        x -= self.mean
+        target = self.code[y].astype(np.float32)
         weight = 1.0 / np.bincount(y, minlength=len(langs))[y]  # languages count alike
         weight /= weight.mean()
-        root = np.sqrt(weight)[:, None]
-        k = np.linalg.inv((root * x) @ (root * x).T + RIDGE * np.eye(len(x)))
+        root = np.sqrt(weight)[:, None].astype(np.float32)
+        x *= root  # in place: the matrix is held once
+        k = np.linalg.inv((x @ x.T).astype(np.float64) + RIDGE * np.eye(len(x)))
         dual = k @ (root * target)
         left_out = target - dual / np.diag(k)[:, None] / root  # leave-one-out predictions
         self.scale = 1.0 / max(1e-6, float(np.abs(left_out).mean()))
-        self.weights = ((root * x).T @ dual).astype(np.float32)
+        self.weights = (x.T @ dual.astype(np.float32)).astype(np.float32)
         right = left_out * target > 0
         self.trust = np.array([right[y == i].mean(0) if (y == i).any() else np.full(target.shape[1], 0.5) for i in range(len(langs))])
         self.trust = (self.trust + 1e-3) / (self.trust + 1e-3).sum(1, keepdims=True)
@@ -128,7 +131,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
         return Model([], np.zeros((0, 0)), np.zeros(0, int))
-    spark = docs.sparkSession
+    spark, per_language = docs.sparkSession, min(per_language, max(1, SAMPLE // len(counts)))
     share = spark.createDataFrame([(r.lang, min(1.0, 1.3 * per_language / r.n)) for r in counts], "lang string, share double")
     # the hash picks about 1.3 * per_language rows a language; the smallest hashes among them are taken
     pick = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)).cast("double") / (1 << 30)
@@ -149,8 +152,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     for r in sorted(found, key=lambda r: (r.lang, r.pick, r.id)):
         if len(own := by.setdefault(r.lang, [])) < per_language:
             own.append(np.frombuffer(bytes(r.v), np.float32))
+    del found
     langs = sorted(by)
-    x = np.array([v for k in langs for v in by[k]], np.float64)
+    x = np.array([v for k in langs for v in by[k]], np.float32)
     return Model(langs, x, np.array([i for i, k in enumerate(langs) for _ in by[k]], int))
 
 
