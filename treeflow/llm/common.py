@@ -16,18 +16,30 @@ BROADCAST_ROWS = 100_000
 SLICE_ROWS = 512
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset (tests) one of our own."""
+    """This application's part of the folder that all executors share, ``spark.checkpoint.dir``; only where that is unset
+    (tests) a folder of its own."""
+    app = spark.sparkContext.applicationId
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="treeflow-")
-        spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return folder.rstrip("/")
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="treeflow-")
+        folder = _OWN[app]
+    return f"{folder.rstrip('/')}/treeflow-corpus/{app}"
 
 
 def new_table(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/treeflow/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables. Results that read them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -32,6 +32,8 @@ from .common import map_rows, materialise, rows_of, small, to_arrow
 KEY = b"treeflow-surrogates"
 ROUNDS = 40
 GROW_FROM = 4
+#: Bytes of entities up to which those that moved on are sent to all tasks.
+SENT_BYTES = 8 << 20
 ENTITY = "kind string, norm string"
 
 # Titles before names, with the gender they tell; key words before secrets.
@@ -268,8 +270,8 @@ def anonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     if report:
         schema = StructType([*schema.fields, StructField("n_replaced", IntegerType()), StructField("kinds", StringType())])
     arrow = to_arrow(spark, schema)
-    if small(moved):
-        common = {(r.kind, r.norm): r.attempt for r in moved.collect()}  # counted: at most BROADCAST_ROWS
+    if small(moved) and (moved.agg(F.sum(F.octet_length("norm"))).first()[0] or 0) <= SENT_BYTES:
+        common = {(r.kind, r.norm): r.attempt for r in moved.collect()}  # counted: at most BROADCAST_ROWS rows and SENT_BYTES
         source, own = docs, False
     else:  # each document gets the attempts of its own entities
         mentions = map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col)), lambda: lambda row: {(row[0], k, n) for _, _, k, n in detect(row[1])}, f"tf_id long, {ENTITY}")
