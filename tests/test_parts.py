@@ -77,6 +77,13 @@ def test_store(spark, tmp_path):
         store.load("b")
 
 
+def test_intermediate_tables_can_be_released(spark):
+    from treeflow.plans import store
+
+    table = store.written(spark.range(3).toDF("x"), "test")
+    assert table.count() == 3 and f"/treeflow/{spark.sparkContext.applicationId}/" in table.inputFiles()[0]
+
+
 def _config(tmp_path, **more):
     spec = {"kind": "simulator", "max_depth": 2, "min_folders": 1, "max_folders": 2, "min_files": 1, "max_files": 2}
     return lifecycle.Config(str(tmp_path / "run"), spec, spec | more)

@@ -9,20 +9,35 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
+    """This application's part of the folder in ``spark.checkpoint.dir``; where that is unset, a folder of its own."""
+    app = spark.sparkContext.applicationId
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or tempfile.mkdtemp(prefix="treeflow-")).rstrip("/")
+    if not folder:
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="treeflow-")
+        folder = _OWN[app]
+    return f"{folder.rstrip('/')}/treeflow/{app}"
 
 
 def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """``df`` written to the shared folder and read back: the plan starts anew there, and lost executors cost no rerun."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/treeflow/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables. Results that read them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class SnapshotStore:
     """Versioned tables under ``root``: ``save`` writes a new version, then moves the manifest; a failure leaves the old
     version current."""
