@@ -374,3 +374,102 @@ def _z03(spark, sf_dir):
     made = logs.from_events(_events(spark, sf_dir)).groupBy(F.col("queue").alias("queue_key")).agg(F.count("*").alias("total_discovered"), F.count_if(F.col("level") == "error").alias("total_failed"))
     read = metrics.external_json(made).select("queue_key", F.from_json("metrics_json", "total_discovered long, total_failed long").alias("m"))
     return read.select(F.col("queue_key").alias("queue"), "m.total_discovered", "m.total_failed")
+
+
+@query("f16_logs_of_level", "SELECT id, timestamp, message FROM logs WHERE level = 'error'", base=f"WITH {LOGS_SQL}")
+def _f16(spark, sf_dir):
+    return logs.in_level_order(logs.from_events(_events(spark, sf_dir)).where("level = 'error'")).select("id", "timestamp", "message")
+
+
+on_state("a20_round_rates", """SELECT side, depth, expanded, discovered, CAST(round(1e6 * discovered / expanded) AS BIGINT) AS micro_per_folder FROM (
+SELECT side, depth, count(*) FILTER (type = 'folder' AND traversal_status <> 'not_on_src') AS expanded, (SELECT count(*) FROM nodes c WHERE c.side = p.side AND c.depth = p.depth + 1) AS discovered
+FROM nodes p WHERE depth <= 4 GROUP BY side, depth)""")(
+    lambda s, spark, _: metrics.round_rates(spark.createDataFrame(s.rounds, "side string, depth int, expanded long, discovered long")).withColumn("micro_per_folder", F.round(F.col("per_folder") * 1e6).cast("long")).drop("per_folder")
+)
+on_state("p01_tasks", "SELECT id, CASE WHEN type = 'folder' THEN service_id ELSE '' END AS folder_id, CASE WHEN type = 'file' THEN service_id ELSE '' END AS file_id, side, name, path, parent_path, parent_service_id, mtime, coalesce(size, 0) AS size, depth AS round FROM nodes")(
+    lambda s, *_: expand.as_tasks(nodes_of(s))
+)
+on_state("p02_task_nodes", "SELECT side, id, service_id, '' AS parent_id, parent_service_id, CASE WHEN parent_path = '' THEN '/' ELSE parent_path END AS parent_path, name, path, type, coalesce(size, 0) AS size, mtime, depth FROM nodes")(
+    lambda s, *_: expand.from_tasks(expand.as_tasks(nodes_of(s)).withColumn("id", F.lit("")))
+)
+
+
+@query("p10_roots", "SELECT * FROM (VALUES ('r1', 'r1', '/', '', 'folder', 'now'), ('r2', 'Two', '/', '', 'folder', '2025-01-01T00:00:00Z')) t(service_id, name, path, parent_path, type, mtime)", base="")
+def _p10(spark, sf_dir):
+    rows = spark.createDataFrame([("r1", None, ""), ("r2", "Two", "2025-01-01T00:00:00Z")], "service_id string, name string, mtime string")
+    return expand.normalise_root(rows, F.lit("now"))
+
+
+@query("s03_simulator_counts")
+def _sim(spark, sf_dir):
+    """Rows by depth and type of a simulated tree and of its second world."""
+    from ..sources import simulator
+
+    spec = simulator.TreeSpec(max_depth=3)
+    both = simulator.listing(spark, spec).withColumn("world", F.lit("primary")).unionByName(simulator.listing(spark, spec, "s1").withColumn("world", F.lit("s1")))
+    return both.groupBy("world", scalar.path_depth(F.col("path")).alias("depth"), "type").agg(F.count("*").alias("nodes"))
+
+
+@query("s04_local_fs_listing")
+def _s04(spark, sf_dir):
+    """This package's own directory, listed by the directory source."""
+    from pathlib import Path
+
+    from ..sources import local_fs
+
+    root = Path(__file__).resolve().parent.parent / "sources"
+    return local_fs.listing(spark, str(root)).select("path", "parent_path", "name", "type", "size").where("NOT contains(path, '__pycache__')")
+
+
+# Streams: run to the end of what is there, into a written table --------------------------------------------------------
+
+
+def _streamed(spark: SparkSession, stream: DataFrame, label: str, mode: str) -> DataFrame:
+    import uuid
+
+    from .store import shared_dir
+
+    place = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{place}/rows")
+
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/rows")
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.readStream.schema(_events(spark, sf_dir).schema).option("pathGlobFilter", "events.parquet")
+    return files.parquet(sf_dir)  # a stream reads folders
+
+
+@query("t07_streaming_ema")
+def _t07(spark, sf_dir):
+    from ..streaming.metrics_stream import ema_stream
+
+    rows = _streamed(spark, ema_stream(_event_stream(spark, sf_dir)), "t07", "update")
+    return rows.select(F.col("queue").alias("event_type"), F.col("t").alias("day"), F.round(F.col("rate") * 1e9).cast("long").alias("nano_rate"))
+
+
+ORACLES["t07_streaming_ema"] = ORACLES["a24_ema_rate"]
+
+
+@query("t08_windowed_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS start, event_type, count(*) AS n FROM events GROUP BY ALL", base="")
+def _t08(spark, sf_dir):
+    """Counts by hour: the streaming operator on a table, where all windows are final."""
+    from ..streaming.metrics_stream import windowed_counts
+
+    return windowed_counts(_events(spark, sf_dir)).select(scalar.rfc3339(F.col("start")).alias("start"), "event_type", "n")
+
+
+@query("t06_streaming_logs", "SELECT level, queue, count(*) AS n FROM logs GROUP BY level, queue", base=f"WITH {LOGS_SQL}")
+def _t06(spark, sf_dir):
+    """Logs sent as JSON lines, read back as a stream."""
+    import uuid
+
+    from ..streaming.logs_stream import packets
+    from .store import shared_dir
+
+    sent = f"{shared_dir(spark)}/packets-{uuid.uuid4().hex}"
+    logs.from_events(_events(spark, sf_dir)).select(F.to_json(F.struct("timestamp", "level", "message", "entity", "entity_id", "queue")).alias("value")).write.text(sent)
+    return _streamed(spark, packets(spark, sent), "t06", "append").groupBy("level", "queue").agg(F.count("*").alias("n"))
