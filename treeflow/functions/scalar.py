@@ -29,8 +29,9 @@ def level_of(name: Column) -> Column:
 
 def normalise_path(path: Column) -> Column:
     """One leading slash, no repeated and no trailing ones."""
+    clean = path.startswith("/") & ~F.contains(path, F.lit("//")) & ((path == "/") | ~path.endswith("/"))
     bare = F.regexp_replace(F.regexp_replace(F.concat(F.lit("/"), F.coalesce(path, F.lit(""))), r"/+", "/"), r"/$", "")
-    return F.when(bare == "", F.lit("/")).otherwise(bare)
+    return F.when(clean, path).when(bare == "", F.lit("/")).otherwise(bare)  # most paths need no pattern
 
 
 def child_path(parent: Column, name: Column) -> Column:
@@ -38,7 +39,7 @@ def child_path(parent: Column, name: Column) -> Column:
 
 
 def path_depth(path: Column) -> Column:
-    return F.when(path == "/", F.lit(0)).otherwise(F.size(F.split(path, "/")) - 1)
+    return F.when(path == "/", F.lit(0)).otherwise(F.char_length(path) - F.char_length(F.replace(path, F.lit("/"), F.lit(""))))
 
 
 def timestamp_of(text: Column) -> Column:

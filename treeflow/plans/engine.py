@@ -61,6 +61,7 @@ def advance(state: State, src_list: DataFrame, dst_list: DataFrame, failing: Cal
     if first is None:
         return state
     src_new, dst_new, pairs_new, failed, rounds, depth = [], [], [], [], list(state.rounds), first
+    open_src = open_dst = None  # pending folders among the level just found
 
     def frontier(old: DataFrame, new: list[DataFrame]) -> DataFrame:
         parts = []
@@ -73,7 +74,7 @@ def advance(state: State, src_list: DataFrame, dst_list: DataFrame, failing: Cal
 
     while not (stop and stop(depth)):
         src_front, dst_front = frontier(state.src, src_new), frontier(state.dst, dst_new)
-        n_src, n_dst = src_front.count(), dst_front.count()
+        n_src, n_dst = (f.count() if depth <= last or n is None else n for f, n in ((src_front, open_src), (dst_front, open_dst)))
         if not n_src and not n_dst and depth > last:
             break
         if failing is not None:
@@ -91,7 +92,8 @@ def advance(state: State, src_list: DataFrame, dst_list: DataFrame, failing: Cal
         src_new.append(kids)
         dst_new.append(found)
         pairs_new.append(found.where("match_id IS NOT NULL").select(F.col("match_id").alias("src_id"), F.col("id").alias("dst_id")))
-        rounds += [(side, depth, n, df.count()) for side, n, df in (("SRC", n_src, kids), ("DST", n_dst, found)) if n]
+        (all_src, open_src), (all_dst, open_dst) = (df.agg(F.count("*"), F.count_if(waiting)).first() for df in (kids, found))
+        rounds += [(side, depth, n, total) for side, n, total in (("SRC", n_src, all_src), ("DST", n_dst, all_dst)) if n]
         depth += 1
     if not src_new:
         return state
