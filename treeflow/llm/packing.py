@@ -39,7 +39,7 @@ MAX_QUEUES = 256
 TAIL_QUEUES = 16
 CACHE_ENTRIES = 400_000
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 TOKENS = "doc_id long, source string, part int, start long, ids binary"
 PROBES = ("a", "the", "pretokenization", "straße", "éèêç", "ñandú", "über", "ø", "qqxzj")
 TOKENIZER = "word_bpe_49k.json"
@@ -82,15 +82,18 @@ class Encoder:
                 self.words[word] = found
         return found
 
-    def _chunk(self, chunk: str) -> bytes:
+    def chunk(self, chunk: str) -> bytes:
+        """The ids of a piece without white space, by way of its word where that can't change them."""
         if "Σ" in chunk:  # lower() knows a final sigma, the tokenizer doesn't
-            found = self._plain(chunk)
-        elif chunk[-1] in ".," and (word := chunk[:-1].lower()).isalpha():
-            found = self._word(word) + self._word(chunk[-1])
-        elif (word := chunk.lower()).isalpha():
-            found = self._word(word)
-        else:
-            found = self._plain(chunk)
+            return self._plain(chunk)
+        if chunk[-1] in ".," and (word := chunk[:-1].lower()).isalpha():
+            return self._word(word) + self._word(chunk[-1])
+        if (word := chunk.lower()).isalpha():
+            return self._word(word)
+        return self._plain(chunk)
+
+    def _chunk(self, chunk: str) -> bytes:
+        found = self.chunk(chunk)
         if len(self.seen) < CACHE_ENTRIES:
             self.seen[chunk] = found
         return found
@@ -112,7 +115,7 @@ class Batches:
         self.ids, self.starts, self.lengths = bytearray(), array("q"), array("q")
 
     def _number(self, chunk: str) -> int:
-        found = self.one._chunk(chunk) if chunk else b""
+        found = self.one.chunk(chunk) if chunk else b""
         width = self.one.kind().itemsize
         self.starts.append(len(self.ids) // width)
         self.lengths.append(len(found) // width)
@@ -144,7 +147,6 @@ class Batches:
     def _slice(self, texts) -> Iterator[bytes]:
         if len(self.number) > CACHE_ENTRIES:
             self.clear()
-            self.one.seen = {"": b""}
         parts = pc.split_pattern(texts, " ")
         bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         coded = parts.flatten().dictionary_encode()
