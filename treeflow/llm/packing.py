@@ -37,10 +37,14 @@ END_ID = 1
 #: Sources with a queue of their own; the rest, smallest first, share ``TAIL_QUEUES`` queues.
 MAX_QUEUES = 256
 TAIL_QUEUES = 16
-CACHE_ENTRIES = 400_000
+#: Pieces that a worker remembers (about 150 bytes each), and words of pieces with marks.
+CACHE_ENTRIES = 700_000
+WORD_ENTRIES = 150_000
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 6 << 20
 TOKENS = "doc_id long, source string, part int, start long, ids binary"
+# Marks that never join a following letter; words that show whether the merges can be used directly.
+MARKS = ".,;:!?*#$%&|-_)(\"/"
 PROBES = ("a", "the", "pretokenization", "straße", "éèêç", "ñandú", "über", "ø", "qqxzj")
 TOKENIZER = "word_bpe_49k.json"
 
@@ -61,7 +65,7 @@ class Encoder:
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.bytes = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own)}
         model = self.tokenizer.model
-        self.merge = lambda w: [x.id for x in model.tokenize(w.encode().decode("latin-1").translate(self.bytes))]
+        self.merge = lambda w: [x.id for x in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.bytes))]
         try:  # words may go to the merges directly if that gives the tokenizer's ids
             self.direct = all(self.merge(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in PROBES)
         except Exception:
@@ -70,15 +74,17 @@ class Encoder:
     def _plain(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def _new_word(self, word: str) -> bytes:
+        # letters below U+0250 are composed and lower already: normalising and splitting leave such a word alone
+        if self.direct and max(word) < "\u0250" and word.isalpha():
+            return np.array(self.merge(word), self.kind).tobytes()
+        return self._plain(word)
+
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            # letters below U+0250 are composed and lower already: normalising and splitting leave such a word alone
-            if self.direct and max(word) < "\u0250" and word.isalpha():
-                found = np.array(self.merge(word), self.kind).tobytes()
-            else:
-                found = self._plain(word)
-            if len(self.words) < CACHE_ENTRIES:
+            found = self._new_word(word)
+            if len(self.words) < WORD_ENTRIES:
                 self.words[word] = found
         return found
 
@@ -86,10 +92,9 @@ class Encoder:
         """The ids of a piece without white space, by way of its word where that can't change them."""
         if "Σ" in chunk:  # lower() knows a final sigma, the tokenizer doesn't
             return self._plain(chunk)
-        if chunk[-1] in ".," and (word := chunk[:-1].lower()).isalpha():
-            return self._word(word) + self._word(chunk[-1])
-        if (word := chunk.lower()).isalpha():
-            return self._word(word)
+        bare = chunk.rstrip(MARKS)
+        if (word := bare.lower()).isalpha():  # letters and marks after them are split in any case
+            return self._new_word(word) if bare == chunk else self._word(word) + self._word(chunk[len(bare) :])
         return self._plain(chunk)
 
     def _chunk(self, chunk: str) -> bytes:
