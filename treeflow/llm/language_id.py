@@ -27,7 +27,7 @@ MAX_LANGUAGES = 100
 SAMPLE = 3000
 TRIGRAMS, BIGRAMS = 4096, 1024
 RIDGE = 0.05
-MARGIN = 0.02
+MARGIN = 0.003
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
 STEP = 1 << 20
