@@ -15,11 +15,13 @@ Defined results: null texts and texts without a letter are ``und`` with score 0;
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, rows_of, to_arrow
 
 PER_LANGUAGE = 300
 MAX_LANGUAGES = 100
@@ -147,15 +149,23 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
 
         return each
 
-    found = map_rows(chosen, make, "lang string, pick double, id long, v binary").collect()
-    by: dict[str, list] = {}
-    for r in sorted(found, key=lambda r: (r.lang, r.pick, r.id)):
-        if len(own := by.setdefault(r.lang, [])) < per_language:
-            own.append(np.frombuffer(bytes(r.v), np.float32))
-    del found
-    langs = sorted(by)
-    x = np.array([v for k in langs for v in by[k]], np.float32)
-    return Model(langs, x, np.array([i for i, k in enumerate(langs) for _ in by[k]], int))
+    rows = map_rows(chosen, make, "lang string, pick double, id long, v binary")
+    arrow = to_arrow(spark, "model binary")
+
+    def fit(it):
+        """One task fits the model: at most about 1.3 * ``SAMPLE`` rows. A worker has one thread for linear algebra."""
+        import pyarrow as pa
+
+        by: dict[str, list] = {}
+        for lang, pick, doc, v in sorted(r for batch in it for r in rows_of(batch)):
+            if len(own := by.setdefault(lang, [])) < per_language:
+                own.append(np.frombuffer(v, np.float32))
+        langs = sorted(by)
+        x = np.array([v for k in langs for v in by[k]], np.float32)
+        made = Model(langs, x, np.array([i for i, k in enumerate(langs) for _ in by[k]], int))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], schema=arrow)
+
+    return pickle.loads(bytes(rows.repartition(1).mapInArrow(fit, "model binary").first().model))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
