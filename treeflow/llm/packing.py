@@ -13,7 +13,8 @@ position in their source; (2) positions become global by prefix sums over the sm
 and each document is cut into pieces on its own.
 
 Defined results: null text is empty (one id: the closing 1); a null source is a queue of its own; repeated rows are packed
-like any other; an empty table gives no rows. Only the last sequence is short.
+like any other; an empty table gives no rows. Only the last sequence is short. With ``weights``, sources that it doesn't name
+have target 0 and come last.
 """
 
 from __future__ import annotations
@@ -34,9 +35,10 @@ SEQUENCE = 2048
 #: Sequences a window: within each window the target proportions hold to a token.
 WINDOW = 16
 END_ID = 1
-#: Sources with a queue of their own; the rest, smallest first, share ``TAIL_QUEUES`` queues.
-MAX_QUEUES = 256
-TAIL_QUEUES = 16
+#: Queues up to which a heap finds the last tokens of a window; more are searched as arrays, and documents are visited by time.
+HEAP_QUEUES = 256
+#: Bytes of windows that a worker remembers.
+WINDOW_BYTES = 64 << 20
 #: Pieces that a worker remembers (about 150 bytes each), and words of pieces with marks.
 CACHE_ENTRIES = 700_000
 WORD_ENTRIES = 150_000
@@ -193,7 +195,7 @@ class Mixture:
         """Tokens of each queue among the first n: the n smallest keys (k + 1/2) / rate, ties to the earlier queue."""
         found = self.known.get(n)
         if found is None:
-            if len(self.known) > 4096:
+            if len(self.known) > min(4096, max(8, WINDOW_BYTES // (8 * len(self.totals)))):
                 self.known.clear()
             found = self.known[n] = self._given(min(n, self.all))
         return found
@@ -201,6 +203,8 @@ class Mixture:
     def _given(self, n: int) -> np.ndarray:
         if n <= 0:
             return np.zeros(len(self.totals), np.int64)
+        if len(self.totals) > HEAP_QUEUES:
+            return self._searched(n)
         # by then at most n tokens are due (each queue is within half a token of its credit), so all of k's are among the n
         start = max(0.0, self._time(max(0, n - len(self.totals))))
         k = np.clip(np.floor(self.rates * start - 0.5).astype(np.int64), 0, self.totals)
@@ -215,6 +219,32 @@ class Mixture:
                 heapq.heappop(heap)
         return k
 
+    def _searched(self, n: int) -> np.ndarray:
+        """The same for many queues: bisection for a time by which at most n tokens are out, then the rest in key order, as
+        many at once as come before the second next token of any of them."""
+
+        def out(v: float, slack: float) -> np.ndarray:
+            return np.minimum(np.floor(self.rates * (v * (1 + slack)) + 0.5), self.totals)
+
+        low, high = 0.0, max(self._time(min(n + len(self.totals), self.all)), self._time(n)) * 1.001
+        for _ in range(60):
+            middle = (low + high) / 2
+            if out(middle, 1e-9).sum() <= n:
+                low = middle
+            else:
+                high = middle
+            if high - low <= 1e-12 * high:
+                break
+        k = out(low, -1e-9).astype(np.int64)
+        while left := n - int(k.sum()):
+            due = np.where(k < self.totals, (k + 0.5) / self.rates, np.inf)
+            order = np.argsort(due, kind="stable")[:left]
+            order = order[np.isfinite(due[order])]
+            after = np.minimum.accumulate((k[order] + 1.5) / self.rates[order])
+            late = np.flatnonzero(due[order[1:]] >= after[:-1])
+            k[order[: late[0] + 1] if late.size else order] += 1
+        return k
+
     def due(self, s: int, j: int) -> int:
         """About how many tokens are out when queue s's j-th is: a first guess for the window."""
         v = (j + 0.5) / self.rates[s]
@@ -278,26 +308,22 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, weights: Mapping[str, floa
     tokens = materialise(tokenise(docs, tokenizer, id_col, text_col, source_col), "pack-ids")
     spark = tokens.sparkSession
     totals = materialise(tokens.groupBy("source", "part").agg(F.sum(F.octet_length("ids") / width).cast("long").alias("n")), "pack-totals")
-    top = totals.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(MAX_QUEUES).collect()
-    own = {r.source: i for i, r in enumerate(top)}
-    named = spark.createDataFrame([(s, i) for s, i in own.items()], "source string, own int")
-    queue = F.coalesce("own", F.lit(len(own)) + F.pmod(F.xxhash64("source"), F.lit(TAIL_QUEUES)).cast("int"))
-    totals = totals.join(F.broadcast(named), "source", "left").select("source", "part", "n", queue.alias("queue"))
-    sizes = {r.queue: r.n for r in totals.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    queues = [sizes.get(i, 0) for i in range(len(own) + TAIL_QUEUES)]
-    rates = None
+    sources = totals.groupBy("source").agg(F.sum("n").alias("n"))
+    sources = sources.withColumn("queue", F.row_number().over(Window.orderBy(F.desc("n"), "source")) - 1)
+    sources = materialise(sources, "pack-sources")  # a narrow row a source
+    found = sources.orderBy("queue").toArrow()
+    queues, rates = found["n"].to_numpy(), None
     if weights is not None:
-        rest = [q for q in range(len(queues)) if queues[q]]
-        rates = [0.0] * len(queues)
-        for s, i in own.items():
-            rates[i] = float(weights.get(s[1:], 0.0))
-        left = max(0.0, 1.0 - sum(rates))
-        for q in rest:
-            if q >= len(own):
-                rates[q] = left / TAIL_QUEUES
-    base = totals.select("source", "part", "queue", (F.sum("n").over(Window.partitionBy("queue").orderBy("part", "source")) - F.col("n")).alias("base"))
+        rates = np.array([float(weights.get(s[1:], 0.0)) for s in found["source"].to_pylist()])
+    by_part = totals.join(checked_broadcast(sources.select("source", "queue")), "source")
+    base = by_part.select("source", "part", "queue", (F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).alias("base"))
     placed = tokens.join(checked_broadcast(materialise(base, "pack-base")), ["source", "part"]).select("doc_id", "source", "queue", (F.col("base") + F.col("start")).alias("first"), "ids")
 
+    if len(queues) > HEAP_QUEUES:  # a task's documents by the time they are due, so that it meets its windows in turn
+        speed = sources.select("queue", "n") if rates is None else spark.createDataFrame([(i, float(r)) for i, r in enumerate(rates)], "queue int, n double")
+        placed = placed.join(checked_broadcast(speed), "queue").sortWithinPartitions((F.col("first") + 0.5) / F.greatest("n", F.lit(1e-9)))
+        placed = placed.select("doc_id", "source", "queue", "first", "ids")
+
     def make():
         mix = Mixture(queues, rates)
         kind = "<u2" if width == 2 else "<u4"
