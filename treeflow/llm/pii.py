@@ -2,8 +2,10 @@
 
 Detected entities get keyed surrogates of the same type and form: letters stay letters of their script and case, digits
 digits, separators stay, a card number that passes the Luhn test still does, a given name keeps its gender (known from the
-title before it) and script. A surrogate depends on the key and the entity's normal form alone, so all mentions of an
-entity, in whatever notation, get the same one (coreference).
+title before it) and script. A surrogate depends on the key and the entity's normal form alone, so all its mentions get the
+same one (coreference): notations of a number that differ in separators or in a leading +1 have one normal form (other
+country codes stay part of it), and names found after a title are looked for in the rest of their document, as whole words
+in the same letters and case. A given name has one gender in the corpus: that of its titles, or none if they differ.
 
 Distinctness is checked over the corpus: the distinct entities and their surrogates are compared; where two entities share
 a surrogate, all but the smallest move on to their next surrogate, as does an entity whose surrogate is another's real
@@ -18,6 +20,7 @@ follows the text).
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -102,7 +105,10 @@ def _numbers(text: str) -> list[Span]:
         kind = m.lastgroup
         if kind == "ipv4" and any(int(x) > 255 for x in m[0].split(".")):
             continue
-        out.append((m.start(), m.end(), kind, m[0] if kind == "ipv4" else SEPARATORS.sub("", m[0])))
+        norm = m[0] if kind == "ipv4" else SEPARATORS.sub("", m[0])
+        if kind == "phone" and m[0].startswith("+1") and len(norm) == 11:
+            norm = norm[1:]
+        out.append((m.start(), m.end(), kind, norm))
     return out
 
 
@@ -120,6 +126,22 @@ def _names(text: str) -> list[Span]:
     return out
 
 
+def _again(text: str, names: list[Span]) -> list[Span]:
+    """Every mention of the names found, whole words; a word of several kinds has that of its first mention."""
+    out, seen = [], set()
+    for a, b, kind, norm in names:
+        if (word := text[a:b]) in seen:
+            continue
+        seen.add(word)
+        at = text.find(word)
+        while at >= 0:
+            end = at + len(word)
+            if not (at and (text[at - 1].isalnum() or text[at - 1] == "_")) and not (end < len(text) and (text[end].isalnum() or text[end] == "_")):
+                out.append((at, end, kind, norm))
+            at = text.find(word, end)
+    return out
+
+
 DETECTORS = (_secrets, _emails, _access_keys, _numbers, _names)
 
 
@@ -128,14 +150,17 @@ def detect(text: str | None) -> list[Span]:
     if not text:
         return []
     found = [(s, i, -e, e, kind, norm) for i, f in enumerate(DETECTORS) for s, e, kind, norm in f(text)]
+    if names := [(s, e, kind, norm) for s, i, _, e, kind, norm in found if DETECTORS[i] is _names]:
+        found += [(s, len(DETECTORS), -e, e, kind, norm) for s, e, kind, norm in _again(text, names)]
     if len(found) < 2:
         return [(s, e, kind, norm) for s, _, _, e, kind, norm in found]
     out, end = [], 0
     taken: list[Span] = []
     for s, _, _, e, kind, norm in sorted(found, key=lambda x: (x[1], x[0], x[2])):
-        if all(e <= a or b <= s for a, b, _, _ in taken):
-            taken.append((s, e, kind, norm))
-    for span in sorted(taken):
+        i = bisect.bisect(taken, (s, e, kind, norm))
+        if (not i or taken[i - 1][1] <= s) and (i == len(taken) or e <= taken[i][0]):
+            taken.insert(i, (s, e, kind, norm))
+    for span in taken:
         if span[0] >= end:
             out.append(span)
             end = span[1]
@@ -213,6 +238,9 @@ def render(mention: str, kind: str, norm: str, value: str) -> str:
     """``value`` in the notation of the mention."""
     if kind in ("card", "ssn", "phone", "iban"):
         left = iter(value)
+        extra = sum(c.isalnum() for c in mention) - len(value)
+        if kind == "phone" and extra > 0:  # the country code isn't part of the normal form
+            left = iter([c for c in mention if c.isalnum()][:extra] + list(value))
         return "".join(next(left, "") if c.isalnum() else c for c in mention) + "".join(left)
     if kind == "email":
         return value.upper() if mention.isupper() else value
@@ -221,9 +249,11 @@ def render(mention: str, kind: str, norm: str, value: str) -> str:
     return value
 
 
-def rewrite(text: str | None, attempts: dict[tuple[str, str], int], key: bytes = KEY) -> tuple[str | None, list[str]]:
-    """The text with surrogates, and the kinds replaced."""
+def rewrite(text: str | None, attempts: dict[tuple[str, str], int], key: bytes = KEY, kinds: dict[tuple[str, str], str] | None = None) -> tuple[str | None, list[str]]:
+    """The text with surrogates, and the kinds replaced. ``kinds``: what given names of several genders count as."""
     spans = detect(text)
+    if kinds:
+        spans = [(s, e, kinds.get((kind, norm), kind), norm) for s, e, kind, norm in spans]
     if not spans:
         return text, []
     out, at = [], 0
@@ -234,11 +264,27 @@ def rewrite(text: str | None, attempts: dict[tuple[str, str], int], key: bytes =
 
 
 def moved_entities(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
-    """``kind, norm, attempt`` of the distinct entities that don't use their first surrogate."""
+    """``kind, norm, attempt, mentioned`` of the distinct entities that don't use their first surrogate, and of given names
+    that are mentioned as another kind than the one decided from all their titles."""
     def each(row):
         yield from {(kind, norm) for _, _, kind, norm in detect(row[0])}
 
-    entities = materialise(map_rows(docs.select(F.col(text_col)), lambda: each, ENTITY).distinct(), "pii-entities")
+    mentioned = materialise(map_rows(docs.select(F.col(text_col)), lambda: each, ENTITY).distinct(), "pii-mentioned")
+    given = mentioned.where(F.col("kind").startswith("given")).groupBy("norm").agg(F.collect_set("kind").alias("all")).where("size(all) > 1")
+    known = F.array_remove("all", "given_x")
+    given = materialise(given.select("norm", F.when(F.size(known) == 1, F.get(known, 0)).otherwise("given_x").alias("one")), "pii-given")
+    if given.isEmpty():
+        entities, other = mentioned, None
+    else:
+        decided = mentioned.join(given.withColumn("g", F.lit(True)), (mentioned["norm"] == given["norm"]) & mentioned["kind"].startswith("given"), "left")
+        decided = materialise(decided.select(F.coalesce("one", "kind").alias("kind"), mentioned["norm"], mentioned["kind"].alias("mentioned")), "pii-decided")
+        entities, other = materialise(decided.select("kind", "norm").distinct(), "pii-entities"), decided.where("kind <> mentioned")
+
+    def result(old: DataFrame) -> DataFrame:
+        out = old.withColumn("mentioned", F.col("kind"))
+        if other is not None:
+            out = out.unionByName(other.join(old, ["kind", "norm"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0))))
+        return materialise(out, "pii-moved")
 
     def surrogates():
         return lambda row: ((row[0], row[1], row[2], surrogate(row[0], row[1], row[2], key)),)
@@ -255,7 +301,7 @@ def moved_entities(docs: DataFrame, text_col: str = "text", key: bytes = KEY) ->
         again = materialise(lose.unionByName(real).distinct(), "pii-again")
         old = named.where("attempt > 0").select("kind", "norm", "attempt")
         if again.isEmpty():
-            return materialise(old, "pii-moved")
+            return result(old)
         again = again.withColumn("more", F.lit(1))
         moved = materialise(named.select("kind", "norm", "attempt").join(again, ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("more", F.lit(0))).cast("int").alias("attempt")).where("attempt > 0"), "pii-moved")
     raise ValueError("surrogates still collide")
@@ -271,21 +317,24 @@ def anonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         schema = StructType([*schema.fields, StructField("n_replaced", IntegerType()), StructField("kinds", StringType())])
     arrow = to_arrow(spark, schema)
     if small(moved) and (moved.agg(F.sum(F.octet_length("norm"))).first()[0] or 0) <= SENT_BYTES:
-        common = {(r.kind, r.norm): r.attempt for r in moved.collect()}  # counted: at most BROADCAST_ROWS rows and SENT_BYTES
+        common = [tuple(r) for r in moved.select("mentioned", "norm", "kind", "attempt").collect()]  # counted: at most BROADCAST_ROWS rows and SENT_BYTES
         source, own = docs, False
     else:  # each document gets the attempts of its own entities
         mentions = map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col)), lambda: lambda row: {(row[0], k, n) for _, _, k, n in detect(row[1])}, f"tf_id long, {ENTITY}")
-        lists = mentions.join(moved, ["kind", "norm"]).groupBy("tf_id").agg(F.collect_set(F.struct("kind", "norm", "attempt")).alias("tf_moved"))
+        own_moved = moved.withColumnsRenamed({"kind": "decided", "mentioned": "kind"})
+        lists = mentions.join(own_moved, ["kind", "norm"]).groupBy("tf_id").agg(F.collect_set(F.struct("kind", "norm", "decided", "attempt")).alias("tf_moved"))
         source = docs.join(lists.withColumnRenamed("tf_id", "_tf_id"), F.col(id_col) == F.col("_tf_id"), "left").drop("_tf_id")
-        common, own = {}, True
+        common, own = [], True
 
     def run(it):
+        tables = lambda rows: ({(k, n): a for _, n, k, a in rows}, {(m, n): k for m, n, k, _ in rows if m != k})
+        shared = tables(common)
         for batch in it:
             texts, counts, kinds = [], [], []
             extra = batch.column(batch.num_columns - 1).to_pylist() if own else None
             for i, (text,) in enumerate(rows_of(batch.select([at]))):
-                attempts = {(x["kind"], x["norm"]): x["attempt"] for x in extra[i] or ()} if own else common
-                text, found = rewrite(text, attempts, key)
+                attempts, as_kinds = tables([(x["kind"], x["norm"], x["decided"], x["attempt"]) for x in extra[i] or ()]) if own else shared
+                text, found = rewrite(text, attempts, key, as_kinds)
                 texts.append(text)
                 counts.append(len(found))
                 kinds.append(",".join(sorted(found)))
