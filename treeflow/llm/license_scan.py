@@ -182,7 +182,8 @@ def scan(files: DataFrame, key_col: str, path_col: str, text_col: str, threshold
     bare = own.where("license IS NULL AND path IS NOT NULL")
     dirs = bare.groupBy("dir").agg(F.count("*").alias("files"))
     parts = F.split("dir", "/")
-    chain = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("from_dir"))
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    chain = dirs.select("dir", F.explode(F.array_union(F.array(F.lit("")), above)).alias("from_dir"))  # the root is above relative paths too
     found = chain.join(checked_broadcast(licensed), "from_dir")
     nearest = found.withColumn("r", F.row_number().over(Window.partitionBy("dir").orderBy(F.length("from_dir").desc()))).where("r = 1")
     nearest = materialise(nearest.select("dir", "from_dir", "dir_license"), "licence-nearest")
