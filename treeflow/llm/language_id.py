@@ -6,8 +6,9 @@ language whose codeword has the smallest sum of exponential losses, each bit wei
 for that language under leave-one-out, wins. ``score`` is the winner's share of the softmax of negative losses; a text
 is ``ambiguous`` when the runner-up comes within ``MARGIN`` of the winner.
 
-Training takes at most ``PER_LANGUAGE`` labelled documents a language and ``SAMPLE`` in all, chosen by hash, for at most
-``MAX_LANGUAGES`` languages (the most frequent); features come from whole texts. Prediction sees the text only.
+Training takes at most ``PER_LANGUAGE`` labelled documents a language and about ``SAMPLE`` in all, chosen by hash, but at
+least one of every language that has a document with a letter, so that every labelled language has a codeword; the training
+matrix grows with the languages only beyond ``SAMPLE`` of them. Features come from whole texts. Prediction sees the text only.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any labelled document all are
 ``und``; with one language every text with a letter has it, with score 1; repeated rows get equal results.
@@ -24,8 +25,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, rows_of, to_arrow
 
 PER_LANGUAGE = 300
-MAX_LANGUAGES = 100
-#: Documents in all, so that the training matrix (20 kB a document) has a bound at any number of languages.
+#: Documents in all (or the number of languages, if that is more): the training matrix takes 20 kB a document.
 SAMPLE = 3000
 TRIGRAMS, BIGRAMS = 4096, 1024
 RIDGE = 0.05
@@ -81,9 +81,12 @@ def codewords(n: int) -> np.ndarray:
         bits = range(1, 2 ** (n - 1)) if n > 1 else range(1)
         return np.array([[1 if lang == 0 else (-1 if b >> (lang - 1) & 1 else 1) for b in bits] for lang in range(n)])
     r, best, far = np.random.default_rng(11), None, -1
-    for _ in range(200):
+    tries = max(1, min(200, 2_000_000 // (n * n)))
+    while tries > 0 or best is None:
+        tries -= 1
         code = r.choice([-1, 1], (n, int(np.ceil(10 * np.log2(n)))))
-        apart = (code.shape[1] - code @ code.T) / 2
+        bits = code.astype(np.float32)
+        apart = (code.shape[1] - bits @ bits.T) / 2
         if (d := apart[~np.eye(n, dtype=bool)].min()) > far and (np.abs(code.sum(0)) < n).all():
             best, far = code, d
     return best
@@ -130,14 +133,16 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     """Fit on labelled documents that aren't held out."""
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.coalesce(~held_out(F.col(id_col)), F.lit(False)))
     usable = usable.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    pick = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)).cast("double") / (1 << 30)
+    first = F.min(F.when(F.col("text").rlike(r"\p{L}"), F.struct(pick.alias("pick"), F.col("id"))))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), first.alias("first")).orderBy(F.desc("n"), "lang").collect()
+    counts = [r for r in counts if r.first is not None]  # a row a language
     if not counts:
         return Model([], np.zeros((0, 0)), np.zeros(0, int))
     spark, per_language = docs.sparkSession, min(per_language, max(1, SAMPLE // len(counts)))
-    share = spark.createDataFrame([(r.lang, min(1.0, 1.3 * per_language / r.n)) for r in counts], "lang string, share double")
-    # the hash picks about 1.3 * per_language rows a language; the smallest hashes among them are taken
-    pick = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)).cast("double") / (1 << 30)
-    chosen = usable.withColumn("pick", pick).join(F.broadcast(share), "lang").where("pick < share").select("lang", "pick", "id", "text")
+    share = spark.createDataFrame([(r.lang, min(1.0, 1.3 * per_language / r.n), r.first.id) for r in counts], "lang string, share double, first long")
+    # the hash picks about 1.3 * per_language rows a language, and its first with a letter; the smallest hashes are taken
+    chosen = usable.withColumn("pick", pick).join(F.broadcast(share), "lang").where("pick < share OR id = first").select("lang", "pick", "id", "text")
 
     def make():
         grams = NGrams()
@@ -153,7 +158,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     arrow = to_arrow(spark, "model binary")
 
     def fit(it):
-        """One task fits the model: at most about 1.3 * ``SAMPLE`` rows. A worker has one thread for linear algebra."""
+        """One task fits the model: about 1.3 * ``SAMPLE`` rows, and one a language. A worker has one thread for linear algebra."""
         import pyarrow as pa
 
         by: dict[str, list] = {}
