@@ -2,8 +2,9 @@
 
 An archive is a table of rows ``(part, rec, chunk_no, n_chunks, header, bytes, running)``: record ``rec`` is its header
 block followed by its chunks in order, ``running`` is the SHA-256 of the payload up to and including the chunk. A payload
-above ``CHUNK`` bytes becomes several rows; writer and reader keep one chunk and one hash state at a time, never a whole
-record. Table rows go through Spark's writer, so any store that Spark can write holds archives; ``export_archive``
+above ``CHUNK`` bytes becomes several rows. The reader keeps one chunk and one hash state at a time, never a whole record.
+The writer doesn't: it gets each payload whole (and up to a slice of them at once), as the input holds it in one row, and cuts
+it afterwards, so very large payloads cost it memory. Table rows go through Spark's writer, so any store that Spark can write holds archives; ``export_archive``
 streams one part of the table into a .warc file.
 
 Reading: one-chunk records are checked where they are; only records of several chunks are brought together by record and
