@@ -6,7 +6,8 @@ removed, and the document is rejected if too little of it is left. One map over
 Line rules (a line has at least one word; its characters are counted without the white space around it):
 
 * punctuation: more than 1/10 of its characters are symbols; or runs of ``!!``/``??`` after at least a third of its
-  words; or under 5 words and no closing mark at its end;
+  words; or under 5 words and no closing mark at its end, in a line of under 200 characters (longer ones of few words, such
+  as base64 or long addresses, pass this rule and their characters count as kept);
 * navigation: at least 2 separators, and at most 4 words a separated item on average;
 * boilerplate: equal to an earlier line; or at most 12 words with one of ``PHRASES``.
 
