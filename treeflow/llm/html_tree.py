@@ -10,8 +10,13 @@ written for this module, varied by a seeded generator) with exact gradients from
 Text: character references are decoded, white space within a block is one space, blocks are joined by a line end, inline
 markup doesn't cut blocks, scripts, styles and the like have no text.
 
+The model is fitted on the driver when it is first used in a session (about 10 s for 90 small pages, a fixed amount) and
+sent to the tasks; it is a vector and three tables.
+
 Defined results: null and empty pages give an empty text; text outside of any element is judged as a leaf of the root;
-unclosed and stray tags are repaired; repeated rows get equal results; an empty table gives no rows.
+unclosed and stray tags are repaired; a tag without an end is text; ties (a marginal of exactly 1/2) count as content; very
+long and broken pages take time in proportion to their length, but for deeply nested inline elements that are closed out of
+order; repeated rows get equal results; null ids and urls stay null; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +38,7 @@ STEPS, RATE, DECAY = 160, 0.15, 2e-3
 
 # Element names by role.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul select button label".split())
-SILENT = frozenset("script style noscript template iframe noembed noframes xmp textarea title svg math object canvas audio video head datalist".split())
+SILENT = frozenset("script style noscript template iframe noembed noframes xmp textarea title svg object canvas audio video head datalist".split())
 RAW = frozenset("script style noscript iframe noembed noframes xmp textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"label", "button", "select", "option", "optgroup", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
@@ -59,8 +65,14 @@ _GROUP = {t: g for g, tags in GROUPS.items() for t in tags.split()}
 BAD_HINTS = ("menu", "edge", "side", "ad", "notice", "talk", "share")
 BAD_GROUPS = ("nav", "footer", "aside", "form")
 
-TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|!--(?:.*?-->|>|->|.*\Z)|[!?/][^>]*>)", re.DOTALL)
-ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+# a tag without quotes is matched whole (group 4), of others the end is looked for; nothing here runs past the next "<" but names
+TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)([^<>\"']*+)(>)?|(!--)|([!?/]))")
+STOP = re.compile(r">|=\s*([\"'])")
+COMMENT_END = re.compile(r"-->|--!>")
+#: Tags with quotes but without an end up to which those of a page are read with quotes; in the rest a tag ends at the next ">".
+BROKEN = 4
+LONG_ATTRIBUTES = 4096
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style)(?![\w-])\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 HINT_WORD = re.compile(r"[a-z]+(?:-[a-z]+)*")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -80,7 +92,7 @@ def _attributes(raw: str) -> tuple[frozenset, bool, bool]:
     hints, hidden = set(), False
     for m in ATTRIBUTE.finditer(raw):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+        if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value)):
             hidden = True
         elif name in ("class", "id", "role"):
             for w in HINT_WORD.findall(CAMEL.sub("-", value.replace("_", "-")).lower()):
@@ -88,12 +100,43 @@ def _attributes(raw: str) -> tuple[frozenset, bool, bool]:
     return frozenset(hints), hidden, False
 
 
+def _hints(raw: str) -> tuple[frozenset, bool, bool]:
+    return _attributes(raw) if len(raw) <= LONG_ATTRIBUTES else _attributes.__wrapped__(raw)
+
+
+class _Ends:
+    """Where tags end, in time linear in the page."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.broken = page, page.rfind(">"), 0
+
+    def next(self, at: int) -> int:
+        """The place after the next ">", or -1."""
+        return self.page.find(">", at) + 1 if at <= self.last else -1
+
+    def tag(self, at: int) -> int:
+        """The same for a tag whose attributes begin at ``at``: quoted values may hold a ">"."""
+        if at > self.last:
+            return -1
+        where = at
+        while self.broken < BROKEN:
+            m = STOP.search(self.page, where)
+            if m and m[1] is None:
+                return m.end()
+            where = self.page.find(m[1], m.end()) + 1 if m else 0
+            if not where:
+                self.broken += 1
+                break
+        return self.next(at)
+
+
 def parse(page: str | None) -> list[Node]:
     """The nodes of a page, parents before children, in page order. Node 0 is the root."""
     nodes = [Node("body", -1)]
     stack: list[tuple[str, int]] = [("", 0)]  # open elements with the block node they are in
     pieces: list[str] = []
     state = {"links": 0, "linked": 0}
+    opened: Counter = Counter()  # open elements by name: what isn't open isn't looked for
 
     def flush() -> None:
         nonlocal pieces
@@ -112,9 +155,12 @@ def parse(page: str | None) -> list[Node]:
                 flush()
             if tag == "a":
                 state["links"] -= 1
+            opened[tag] -= 1
         del stack[upto:]
 
     def innermost(names, fences) -> int:
+        if not any(opened[x] for x in names):
+            return 0
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in names:
                 return i
@@ -123,21 +169,31 @@ def parse(page: str | None) -> list[Node]:
         return 0
 
     page, at, silent = page or "", 0, 0
+    ends = _Ends(page)
     while at < len(page):
         m = TAG.search(page, at)
-        end = m.start() if m else len(page)
-        if end > at and not silent:
-            text = html.unescape(page[at:end]) if "&" in page[at:end] else page[at:end]
-            pieces.append(text)
+        end = at if m is None else m.end() if m[4] else ends.tag(m.start(3)) if m[2] else 0 if m[5] else ends.next(m.end())
+        if m is None or end < 0:  # no tag is left: the rest is text
+            m, start = None, len(page)
+        else:
+            start = m.start()
+        if start > at and not silent:
+            text = page[at:start]
+            pieces.append(html.unescape(text) if "&" in text else text)
             if state["links"]:
                 state["linked"] += len(text.strip())
-        if not m:
+        if m is None:
             break
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        if m[5]:
+            over = page.startswith((">", "->"), m.end())
+            stop = None if over else COMMENT_END.search(page, m.end())
+            at = page.index(">", m.end()) + 1 if over else stop.end() if stop else len(page)
+            continue
+        at = end
+        name = (m[2] or "").lower()
         if not name:
             continue
-        if m[1] or m[4]:  # an end tag
+        if m[1]:  # an end tag
             if name in SILENT:
                 silent = max(0, silent - 1)
             elif i := innermost((name,), ("td", "th", "table") if name not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "div", "article", "section", "body", "html") else ()):
@@ -146,10 +202,10 @@ def parse(page: str | None) -> list[Node]:
             elif name in ("p", "br"):
                 flush() if name == "p" else pieces.append(" ")
             continue
-        raw = m[3] if m[2] else m[6]
+        raw = m[3] if m[4] else page[m.start(3) : at - 1]
         if name in RAW:
-            stop = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
-            at = stop.end() if stop else len(page)
+            stop = re.compile(rf"</{name}(?![^\s/>])", re.IGNORECASE).search(page, at)
+            at = max(ends.next(stop.end()), 0) or len(page) if stop else len(page)
             continue
         if name in SILENT:
             if not raw.endswith("/"):
@@ -177,20 +233,22 @@ def parse(page: str | None) -> list[Node]:
                 while len(stack) > 1 and stack[-1][0] in IMPLIED[name]:
                     close(len(stack) - 1)
             if name in ("html", "body"):
-                hints, hidden, _ = _attributes(raw)
+                hints, hidden, _ = _hints(raw)
                 nodes[0].hints |= hints
                 continue
-            hints, hidden, _ = _attributes(raw)
+            hints, hidden, _ = _hints(raw)
             nodes.append(Node(name, stack[-1][1], hints, hidden))
             if "data-main" in raw:
                 nodes[-1].label = 1 if "data-main=1" in raw else -1
             stack.append((name, len(nodes) - 1))
+            opened[name] += 1
         elif not raw.endswith("/"):
             if name == "a":
                 if i := innermost(("a",), FENCES):
                     close(i)
                 state["links"] += 1
             stack.append((name, stack[-1][1]))
+            opened[name] += 1
     flush()
     for n in reversed(nodes):
         if n.parent >= 0:
