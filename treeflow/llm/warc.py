@@ -2,16 +2,18 @@
 
 An archive is a table of rows ``(part, rec, chunk_no, n_chunks, header, bytes, running)``: record ``rec`` is its header
 block followed by its chunks in order, ``running`` is the SHA-256 of the payload up to and including the chunk. A payload
-above ``CHUNK`` bytes becomes several rows. The reader keeps one chunk and one hash state at a time, never a whole record.
-The writer doesn't: it gets each payload whole (and up to a slice of them at once), as the input holds it in one row, and cuts
-it afterwards, so very large payloads cost it memory. Table rows go through Spark's writer, so any store that Spark can write holds archives; ``export_archive``
-streams one part of the table into a .warc file.
+above ``CHUNK`` bytes becomes several rows. Payloads are cut by Spark's own functions, chunk by chunk, from the row that holds
+them (a payload is one value of the input table, so the JVM has it in memory once); writer and reader get chunk rows and keep
+one chunk and one hash state at a time, never a whole record. Table rows go through Spark's writer, so any store that Spark
+can write holds archives; ``export_archive`` streams one part of the table into a .warc file.
 
 Reading: one-chunk records are checked where they are; only records of several chunks are brought together by record and
 chunk number, and streamed through one hash state.
 
 Defined results: null payload is empty; payloads below ``MIN_SHARED`` bytes are always responses; rows that repeat the
-smallest page_id of a payload are responses too; null urls give an empty target; an empty table gives no rows.
+smallest page_id of a payload are responses too; rows without a page_id are responses unless another row has the payload;
+null urls give an empty target; other columns are ignored; payloads of any size that a Spark value holds (2 GB) are whole; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -70,30 +72,33 @@ def write_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     holders = holders.select("digest", "first_id")
     rows = rows.join(F.broadcast(holders), "digest", "left") if small(holders) else salted_left_join(rows, holders, "digest", hot)
+    size = F.octet_length("payload")
+    again = F.coalesce(~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull(), F.lit(False))
+    count = F.when(again, F.lit(1)).otherwise(F.greatest(F.ceil(size / chunk), F.lit(1))).cast("int")
+    rows = rows.select("page_id", "url", "digest", "first_id", size.alias("size"), again.alias("again"), count.alias("n"), F.explode(F.sequence(F.lit(0), count - 1)).alias("no"), "payload")
+    piece = F.when(F.col("again"), F.lit(b"")).otherwise(F.substring("payload", F.col("no") * chunk + 1, F.lit(chunk)))
+    chunks = rows.select("page_id", "url", "digest", "first_id", "size", "again", "no", "n", piece.alias("bytes"))
 
     def make():
-        part, count = TaskContext.get().partitionId(), 0
-
-        def each(row):
-            nonlocal count
-            page, url, body, digest, first = row
-            rec = part << 40 | count
-            count += 1
-            again = first is not None and first != page
-            top = head(page, url, "revisit" if again else "response", digest, len(body), first)
-            if again:
-                yield part, rec, 0, 1, top, b"", digest
-                return
-            n, state, view = max(1, -(-len(body) // chunk)), hashlib.sha256(), memoryview(body)
-            for i in range(n):
-                piece = view[i * chunk : (i + 1) * chunk]
-                state.update(piece)
-                yield part, rec, i, n, top if i == 0 else None, bytes(piece), state.hexdigest()
+        part, count, state, rec = TaskContext.get().partitionId(), 0, None, 0
+
+        def each(row):  # the chunks of a record come one after the other
+            nonlocal count, state, rec
+            page, url, digest, first, size, again, no, n, body = row
+            top = None
+            if no == 0:
+                rec, state = part << 40 | count, hashlib.sha256()
+                count += 1
+                top = head(page, url, "revisit" if again else "response", digest, size, first)
+            state.update(body)
+            running = digest if again else state.hexdigest()
+            if no == n - 1 and running != digest:
+                raise ValueError(f"page {page}: its chunks don't make up its payload")
+            yield part, rec, no, n, top, body, running
 
         return each
 
-    ordered = rows.select("page_id", "url", "payload", "digest", "first_id")
-    return materialise(map_rows(ordered, make, ARCHIVE, size=256), "warc")
+    return materialise(map_rows(chunks, make, ARCHIVE, weigh=lambda row: len(row[5])), "warc")
 
 
 def _finish(fields: dict[str, str], size: int, digest: str, n_chunks: int) -> tuple:
