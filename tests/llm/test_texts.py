@@ -10,6 +10,7 @@ from treeflow.llm import html_tree, language_id, license_scan, line_cleaning, pi
 
 DOC = "doc_id long, text string, lang string, n_chars long, score string"
 DATA = "/root/testdata/sf0.001"
+KEY = b"key of the tests"
 data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
 
@@ -110,7 +111,7 @@ TEXT = "Mr. John Smith (john.smith@Corp.co.uk), Frau Anna Müller; +1 (988) 555-
 
 
 def test_surrogates_keep_form():
-    text, kinds = pii.rewrite(TEXT, {})
+    text, kinds = pii.rewrite(TEXT, {}, KEY)
     for secret in ("Smith", "smith", "John", "555-2485", "4111 1111", "10.2.3.4", "1beb58", "AKIAMD62", "b7db7aa", "Мария", "Иванова", "Müller"):
         assert secret not in text
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4} or \d{3}-\d{3}-\d{4}, \d{4} \d{4} \d{4} \d{4}, 10\.", text)
@@ -120,19 +121,19 @@ def test_surrogates_keep_form():
     names = re.findall(r"Mr\. (\w+) (\w+) .*Mr\. (\w+),", text)[0]
     assert names[1] == names[2]  # coreference
     assert re.search(r"г-жа [А-Я][а-я]+(а|ия|ина) [А-Я][а-я]+", text)
-    assert pii.rewrite(TEXT, {})[0] == text and pii.rewrite(TEXT, {}, key=b"other")[0] != text
+    assert pii.rewrite(TEXT, {}, KEY)[0] == text and pii.rewrite(TEXT, {}, b"other")[0] != text
 
 
 def test_clean_text_stays():
     for t in ("Version 2.0 of 10 things, 2024-01-02 at 12:30.", "a = b", "x@y", "", None, "Mr", "1.2.3", "999.1.1.1"):
-        assert pii.rewrite(t, {}) == (t, [])
+        assert pii.rewrite(t, {}, KEY) == (t, [])
 
 
 def test_collisions_are_resolved(spark, monkeypatch):
     """With a tiny surrogate space every entity still gets a surrogate of its own."""
     real = pii.surrogate
 
-    def narrow(kind, norm, attempt=0, key=pii.KEY):
+    def narrow(kind, norm, attempt=0, key=KEY):
         return f"10.0.0.{pii.Stream(key, kind, norm, attempt).below(16)}" if kind == "ipv4" and attempt < 30 else real(kind, norm, attempt, key)
 
     rows = [(i, f"at {20 + i}.1.2.3 it was", None) for i in range(12)] + [(50, "at 10.0.0.3 and 20.1.2.3", None)]
@@ -140,7 +141,7 @@ def test_collisions_are_resolved(spark, monkeypatch):
     monkeypatch.setattr(pii, "surrogate", narrow)
     # functions go to workers by reference: run the rounds on the driver's side of the same code
     monkeypatch.setattr(pii, "map_rows", lambda d, make, schema, size=0: spark.createDataFrame([x for r in d.collect() for x in make()(tuple(r))], schema))
-    moved = {(r.kind, r.norm): r.attempt for r in pii.moved_entities(df).collect()}
+    moved = {(r.kind, r.norm): r.attempt for r in pii.moved_entities(df, KEY).collect()}
     assert moved
     values = [narrow(k, n, moved.get((k, n), 0)) for k, n in {(x[2], x[3]) for _, t, _ in rows for x in pii.detect(t)}]
     assert len(values) == len(set(values)) == 13 and "10.0.0.3" not in values
@@ -149,7 +150,7 @@ def test_collisions_are_resolved(spark, monkeypatch):
 def test_anonymise_table(spark):
     rows = [(1, TEXT, "en"), (1, TEXT, "en"), (2, None, "en"), (3, "", "de"), (4, "nothing here", "fr"), (5, "see john.smith@corp.co.uk " + "word " * 50000, "fr")]
     df = docs(spark, rows)
-    got = pii.anonymise(df)
+    got = pii.anonymise(df, KEY)
     assert got.columns == df.columns
     by = {}
     for r in got.collect():
@@ -158,13 +159,13 @@ def test_anonymise_table(spark):
     assert by[2][0].text is None and by[3][0].text == "" and by[4][0].text == "nothing here"
     mail = re.search(r"[\w.]+@[\w.]+", by[1][0].text)[0]
     assert mail in by[5][0].text
-    assert pii.anonymise(df.limit(0), report=True).collect() == []
+    assert pii.anonymise(df.limit(0), KEY, report=True).collect() == []
 
 
 def test_moved_entities_by_join(spark, monkeypatch):
     df = docs(spark, [(1, "a@b.com and 1.2.3.4", "en"), (2, None, "en")])
     monkeypatch.setattr(pii, "small", lambda d: False)
-    assert {r.doc_id: r.text for r in pii.anonymise(df).collect()} == {1: pii.rewrite("a@b.com and 1.2.3.4", {})[0], 2: None}
+    assert {r.doc_id: r.text for r in pii.anonymise(df, KEY).collect()} == {1: pii.rewrite("a@b.com and 1.2.3.4", {}, KEY)[0], 2: None}
 
 
 # Licences ------------------------------------------------------------------------------------------------------------

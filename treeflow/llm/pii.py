@@ -7,34 +7,42 @@ same one (coreference): notations of a number that differ in separators or in a
 country codes stay part of it), and names found after a title are looked for in the rest of their document, as whole words
 in the same letters and case. A given name has one gender in the corpus: that of its titles, or none if they differ.
 
-Distinctness is checked over the corpus: the distinct entities and their surrogates are compared; where two entities share
-a surrogate, all but the smallest move on to their next surrogate, as does an entity whose surrogate is another's real
-value, until none is left. From the fourth attempt on surrogates grow by a character, so small forms can't run out. Only
-entities that moved on are looked up when texts are rewritten: few, and broadcast only if counted to be few; else each
-document gets its own by a join.
+Distinctness is checked over the corpus, in rounds: the first takes all distinct entities, the later ones those that lost.
+Where entities share a surrogate, the smallest keeps it; the others, and those whose surrogate is some entity's real value, try
+their next one, which must not be taken either. Later attempts draw from larger spaces: from ``GROW_FROM`` on e-mails, secrets
+and names grow by a character an attempt and IPv4 addresses leave 10/8; from ``GROW_ALL`` on every kind grows by a digit an
+attempt, which gives up the exact form where a form has fewer values than the corpus has entities. So the rounds end at any
+number of entities. Only entities that moved on are looked up when texts are rewritten: few, and broadcast only if counted to
+be few; else each document gets its own by a join.
+
+The key is a required argument. ``session_key`` takes it from the setting ``spark.treeflow.pii.key``; without the setting it is
+random, one an application, so that nobody can rebuild the mapping and surrogates agree within the application only.
 
 Defined results: null stays null, empty stays empty; overlapping detections are resolved in favour of the earlier and
 longer, by the order of ``DETECTORS``; repeated rows get equal texts; other columns pass through (``n_chars``, if present,
-follows the text).
+follows the text); an input column named like one of the report is replaced by it; a null id is an id like others; an empty
+table gives no rows. Detection takes time in proportion to the text and its entities, whose spans are kept in a sorted list.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import ipaddress
 import re
+import secrets
 import unicodedata
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from .common import map_rows, materialise, rows_of, small, to_arrow
+from .common import checked_broadcast, free_name, map_rows, materialise, rows_of, small, to_arrow
 
-KEY = b"treeflow-surrogates"
-ROUNDS = 40
-GROW_FROM = 4
+KEY_SETTING = "spark.treeflow.pii.key"
+GROW_FROM, GROW_ALL = 4, 24
 #: Bytes of entities up to which those that moved on are sent to all tasks.
 SENT_BYTES = 8 << 20
 ENTITY = "kind string, norm string"
@@ -59,6 +67,9 @@ NUMBERS = re.compile(
     r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w))"
 )
 DIGIT = re.compile("[0-9]")
+IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){2,7}(?:::)?(?![\w:])")
+NAME_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’-][^\W\d_]+)*(?!\w)")
+NAME_PART = re.compile(r"[^\W\d_]+")
 ACCESS_KEY = re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)")
 SECRET_LEFT = re.compile(rf"(?:{'|'.join(SECRET_WORDS.split())})[\"']?\s*$", re.IGNORECASE)
 SECRET_RIGHT = re.compile(r"[=:]\s*[\"']?([^\s\"',;]{6,})")
@@ -67,6 +78,7 @@ DOMAIN = re.compile(r"@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})")
 SEPARATORS = re.compile(r"[^0-9A-Za-z]")
 
 Span = tuple[int, int, str, str]
+_OWN_KEYS: dict[str, bytes] = {}
 
 
 def _emails(text: str) -> list[Span]:
@@ -112,6 +124,16 @@ def _numbers(text: str) -> list[Span]:
     return out
 
 
+def _ipv6(text: str) -> list[Span]:
+    out = []
+    for m in IPV6.finditer(text) if ":" in text and DIGIT.search(text) else ():
+        try:
+            out.append((m.start(), m.end(), "ipv6", ipaddress.IPv6Address(m[0]).compressed))
+        except ValueError:
+            pass
+    return out
+
+
 def _names(text: str) -> list[Span]:
     out = []
     for m in NAMES.finditer(text):
@@ -120,29 +142,29 @@ def _names(text: str) -> list[Span]:
         gender, at = _GENDER[m["title"].lower()], m.start("names")
         parts = m["names"].split(" ")
         for i, p in enumerate(parts):
+            p = p[:-2] if p.endswith(("'s", "’s")) else p
             kind = "surname" if i == len(parts) - 1 else f"given_{gender}"
             out.append((at, at + len(p), kind, p.casefold()))
-            at += len(p) + 1
+            at += len(parts[i]) + 1
     return out
 
 
 def _again(text: str, names: list[Span]) -> list[Span]:
-    """Every mention of the names found, whole words; a word of several kinds has that of its first mention."""
-    out, seen = [], set()
+    """Every mention of the names found, whole words or parts of words with hyphens or apostrophes; a word of several kinds has
+    that of its first mention. One pass over the text, however many names there are."""
+    known: dict[str, tuple[str, str]] = {}
     for a, b, kind, norm in names:
-        if (word := text[a:b]) in seen:
-            continue
-        seen.add(word)
-        at = text.find(word)
-        while at >= 0:
-            end = at + len(word)
-            if not (at and (text[at - 1].isalnum() or text[at - 1] == "_")) and not (end < len(text) and (text[end].isalnum() or text[end] == "_")):
-                out.append((at, end, kind, norm))
-            at = text.find(word, end)
+        known.setdefault(text[a:b], (kind, norm))
+    out = []
+    for m in NAME_WORD.finditer(text):
+        if m[0] in known:
+            out.append((m.start(), m.end(), *known[m[0]]))
+        elif not m[0].isalpha():
+            out += [(p.start(), p.end(), *known[p[0]]) for p in NAME_PART.finditer(text, m.start(), m.end()) if p[0] in known]
     return out
 
 
-DETECTORS = (_secrets, _emails, _access_keys, _numbers, _names)
+DETECTORS = (_secrets, _emails, _access_keys, _numbers, _ipv6, _names)
 
 
 def detect(text: str | None) -> list[Span]:
@@ -201,16 +223,28 @@ def _luhn(digits: str) -> int:
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10
 
 
-def surrogate(kind: str, norm: str, attempt: int = 0, key: bytes = KEY) -> str:
+def _iban_remainder(text: str) -> int:
+    """The number that an IBAN stands for, modulo 97: 1 for a valid one."""
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
+
+
+def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
     """The surrogate of a normal form, itself a normal form."""
     s, grow = Stream(key, kind, norm, attempt), max(0, attempt - GROW_FROM + 1)
+    out = _formed(kind, norm, s, grow)
+    return out + "".join(s.pick(_DIGITS) for _ in range(attempt - GROW_ALL + 1)) if attempt >= GROW_ALL else out
+
+
+def _formed(kind: str, norm: str, s: Stream, grow: int) -> str:
     if kind == "email":
         local, _, domain = norm.partition("@")
         labels = domain.split(".")
         top = labels[-1] if labels[-1] in ("com", "org", "net") else "org"
         return ".".join([_same_classes(local, s) + "".join(s.pick(_LOWER) for _ in range(grow)) + "@" + x if i == 0 else x for i, x in enumerate([*(_same_classes(x, s) for x in labels[:-2]), "example", top])])
     if kind == "ipv4":
-        return f"10.{s.below(256)}.{s.below(256)}.{s.below(256)}" if attempt < GROW_FROM else f"172.{16 + s.below(16)}.{s.below(256)}.{s.below(256)}"
+        return ".".join(map(str, [s.below(256) if grow else 10, s.below(256), s.below(256), s.below(256)]))
+    if kind == "ipv6":  # the prefix for documentation
+        return ipaddress.IPv6Address(0x20010DB8 << 96 | s.below(1 << 32) << 64 | s.below(1 << 32) << 32 | s.below(1 << 32)).compressed
     if kind in ("card", "ssn", "phone"):
         keep = {"card": 1, "ssn": 0, "phone": max(0, len(norm) - 10)}[kind]
         out = norm[:keep] + "".join(s.pick(_DIGITS) for _ in norm[keep:])
@@ -219,7 +253,10 @@ def surrogate(kind: str, norm: str, attempt: int = 0, key: bytes = KEY) -> str:
             out = out[:-1] + str((10 - _luhn(out)) % 10)
         return out
     if kind == "iban":
-        return norm[:2] + "".join(s.pick(_DIGITS) if c.isdigit() else s.pick(_LOWER.upper()) for c in norm[2:])
+        out = norm[:2] + "".join(s.pick(_DIGITS) if c.isdigit() else s.pick(_LOWER.upper()) for c in norm[2:])
+        if _iban_remainder(norm) == 1:  # a valid one stays valid
+            out = out[:2] + f"{98 - _iban_remainder(out[:2] + '00' + out[4:]):02d}" + out[4:]
+        return out
     if kind == "access_key":
         return norm[:4] + "".join(s.pick(_LOWER.upper() + _DIGITS) for _ in norm[4:])
     if kind == "secret":
@@ -249,7 +286,7 @@ def render(mention: str, kind: str, norm: str, value: str) -> str:
     return value
 
 
-def rewrite(text: str | None, attempts: dict[tuple[str, str], int], key: bytes = KEY, kinds: dict[tuple[str, str], str] | None = None) -> tuple[str | None, list[str]]:
+def rewrite(text: str | None, attempts: dict[tuple[str, str], int], key: bytes, kinds: dict[tuple[str, str], str] | None = None) -> tuple[str | None, list[str]]:
     """The text with surrogates, and the kinds replaced. ``kinds``: what given names of several genders count as."""
     spans = detect(text)
     if kinds:
@@ -263,7 +300,13 @@ def rewrite(text: str | None, attempts: dict[tuple[str, str], int], key: bytes =
     return "".join([*out, text[at:]]), [x[2] for x in spans]
 
 
-def moved_entities(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the setting, else a random one of this application."""
+    stated = spark.conf.get(KEY_SETTING, None)
+    return stated.encode() if stated else _OWN_KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+def moved_entities(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """``kind, norm, attempt, mentioned`` of the distinct entities that don't use their first surrogate, and of given names
     that are mentioned as another kind than the one decided from all their titles."""
     def each(row):
@@ -289,27 +332,30 @@ def moved_entities(docs: DataFrame, text_col: str = "text", key: bytes = KEY) ->
     def surrogates():
         return lambda row: ((row[0], row[1], row[2], surrogate(row[0], row[1], row[2], key)),)
 
-    moved = None
-    for _ in range(ROUNDS):
-        now = entities.withColumn("attempt", F.lit(0)) if moved is None else entities.join(moved, ["kind", "norm"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
-        named = materialise(map_rows(now.select("kind", "norm", "attempt"), surrogates, f"{ENTITY}, attempt int, value string"), "pii-surrogates")
-        family = F.when(F.col("kind").startswith("given"), F.lit("given")).otherwise(F.col("kind"))
-        named = named.withColumn("family", family)
-        shared = named.groupBy("family", "value").agg(F.min(F.struct("attempt", "kind", "norm")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        lose = named.join(shared, ["family", "value"]).where((F.col("kind") != F.col("first.kind")) | (F.col("norm") != F.col("first.norm"))).select("kind", "norm")
-        real = named.join(entities.select(family.alias("family"), F.col("norm").alias("value")).distinct(), ["family", "value"], "left_semi").select("kind", "norm")
-        again = materialise(lose.unionByName(real).distinct(), "pii-again")
-        old = named.where("attempt > 0").select("kind", "norm", "attempt")
-        if again.isEmpty():
-            return result(old)
-        again = again.withColumn("more", F.lit(1))
-        moved = materialise(named.select("kind", "norm", "attempt").join(again, ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("more", F.lit(0))).cast("int").alias("attempt")).where("attempt > 0"), "pii-moved")
-    raise ValueError("surrogates still collide")
-
-
-def anonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY, report: bool = False) -> DataFrame:
+    family = F.when(F.col("kind").startswith("given"), F.lit("given")).otherwise(F.col("kind")).alias("family")
+    real = entities.select(family, F.col("norm").alias("value")).distinct()
+    active, settled, attempt = entities, [], 0
+    while True:
+        named = map_rows(active.select("kind", "norm", F.lit(attempt)), surrogates, f"{ENTITY}, attempt int, value string").withColumn("family", family)
+        named = materialise(named, "pii-surrogates")
+        tried = checked_broadcast(named.select("family", "value"))
+        bad = [real.join(tried, ["family", "value"], "left_semi")] + [old.select("family", "value").join(tried, ["family", "value"], "left_semi") for old in settled]
+        bad = materialise(reduce(DataFrame.unionByName, bad).distinct(), "pii-taken")
+        first = named.groupBy("family", "value").agg(F.min(F.struct("kind", "norm")).alias("first"))
+        won = named.join(first, ["family", "value"]).where((F.col("kind") == F.col("first.kind")) & (F.col("norm") == F.col("first.norm"))).drop("first")
+        won = materialise(won.join(checked_broadcast(bad), ["family", "value"], "left_anti"), "pii-settled")
+        settled.append(won)
+        active = materialise(active.select("kind", "norm").join(won.select("kind", "norm"), ["kind", "norm"], "left_anti"), "pii-again")
+        attempt += 1
+        if active.isEmpty():
+            return result(reduce(DataFrame.unionByName, settled).where("attempt > 0").select("kind", "norm", "attempt"))
+
+
+def anonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
     """The documents with surrogates in their texts; with ``report`` also ``n_replaced`` and ``kinds`` (sorted)."""
-    moved = moved_entities(docs, text_col, key)
+    if report:
+        docs = docs.drop("n_replaced", "kinds")
+    moved = moved_entities(docs, key, text_col)
     columns, spark = docs.columns, docs.sparkSession
     at, chars = columns.index(text_col), columns.index("n_chars") if "n_chars" in columns else -1
     schema = docs.schema
@@ -320,10 +366,11 @@ def anonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         common = [tuple(r) for r in moved.select("mentioned", "norm", "kind", "attempt").collect()]  # counted: at most BROADCAST_ROWS rows and SENT_BYTES
         source, own = docs, False
     else:  # each document gets the attempts of its own entities
-        mentions = map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col)), lambda: lambda row: {(row[0], k, n) for _, _, k, n in detect(row[1])}, f"tf_id long, {ENTITY}")
+        mine, lists_of = free_name(columns, "tf_id"), free_name(columns, "tf_moved")
+        mentions = map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col)), lambda: lambda row: {(row[0], k, n) for _, _, k, n in detect(row[1])}, f"{mine} long, {ENTITY}")
         own_moved = moved.withColumnsRenamed({"kind": "decided", "mentioned": "kind"})
-        lists = mentions.join(own_moved, ["kind", "norm"]).groupBy("tf_id").agg(F.collect_set(F.struct("kind", "norm", "decided", "attempt")).alias("tf_moved"))
-        source = docs.join(lists.withColumnRenamed("tf_id", "_tf_id"), F.col(id_col) == F.col("_tf_id"), "left").drop("_tf_id")
+        lists = mentions.join(own_moved, ["kind", "norm"]).groupBy(mine).agg(F.collect_set(F.struct("kind", "norm", "decided", "attempt")).alias(lists_of))
+        source = docs.join(lists, F.col(id_col).cast("long").eqNullSafe(F.col(mine)), "left").drop(mine)
         common, own = [], True
 
     def run(it):

@@ -35,7 +35,7 @@ def op7_packing(spark, sf_dir):
 
 
 def op8_pii(spark, sf_dir):
-    return pii.anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    return pii.anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark), report=True)
 
 
 def op9_line_cleaning(spark, sf_dir):
