@@ -7,14 +7,17 @@ unseen word. The licence of a file is the template with the largest cosine of al
 products of all units are summed sparsely from the words they share with templates; the full norm is taken only where the
 bound from a norm with all words distinct reaches the threshold.
 
-A file whose licensed unit has at least ``WHOLE`` of its words is a licence file, and so is one named like one. Its licence
-holds for its directory: files without a licence of their own inherit from the nearest ancestor directory that has one.
+The whole of a file is one more unit, compared with the full licence texts: with a cosine of at least ``WHOLE`` it is a licence
+file of that licence. So is a file that has a licence and is named like one (the way that long texts, of which there is no
+full template, are found). A licence file's licence holds for its directory: files without a licence of their own inherit
+from the nearest ancestor directory that has one. A passing phrase in a file licenses that file alone.
 Directories are joined by path: the distinct directories of files are exploded into their ancestors (as many as the path
 is deep), joined with licensed directories, and the deepest match wins; files then join their directory.
 
 Defined results: null texts have no licence of their own; of equal cosines the first template wins; of several licence
-files in a directory the one of the largest cosine, then of the smallest path; a null path inherits nothing; repeated rows
-give repeated results.
+files in a directory the one of the largest cosine (to six places), then of the smallest path; a null path inherits nothing; repeated rows
+give repeated results; very long lines and files are scored whole, in memory proportional to their words; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -64,6 +67,22 @@ TEMPLATES = {
 }
 
 
+# Full licence texts by licence identifier.
+FULL_TEXTS = {
+    "MIT": [
+        "MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+    "ISC": [
+        "ISC License Copyright (c) Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ],
+    "BSD-3-Clause": [
+        "BSD 3-Clause License Copyright (c) All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to http://unlicense.org/",
+    ],
+}
+
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -71,10 +90,12 @@ def words_of(text: str) -> list[str]:
 class Scorer:
     """Cosines of units to all templates."""
 
-    def __init__(self, templates: dict[str, list[str]], df: dict[str, int], n: int):
+    def __init__(self, templates: dict[str, list[str]], df: dict[str, int], n: int, full: dict[str, list[str]] | None = None):
+        full = FULL_TEXTS if full is None else full
         self.names = [k for k, texts in templates.items() for _ in texts]
         texts = [words_of(t) for all_of in templates.values() for t in all_of]
-        self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
+        wholes = [words_of(t) for all_of in full.values() for t in all_of]
+        self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts + wholes for w in t))}
         self.unseen = float(np.log((1 + n) / 1) + 1)
         self.idf = np.array([np.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in self.vocabulary])
         m = np.zeros((len(self.vocabulary), len(texts)))
@@ -82,9 +103,28 @@ class Scorer:
             for w in t:
                 m[self.vocabulary[w], j] += 1
         m *= self.idf[:, None]
+        self.whole_names = [k for k, texts_of in full.items() for _ in texts_of]
+        self.wholes = np.zeros((len(self.vocabulary), len(wholes)))
+        for j, t in enumerate(wholes):
+            for w in t:
+                self.wholes[self.vocabulary[w], j] += 1
+        self.wholes *= self.idf[:, None]
+        self.wholes /= np.sqrt((self.wholes * self.wholes).sum(0))
         # a word's contribution to the dot products, once for each time it occurs
         self.dots = self.idf[:, None] * m / np.sqrt((m * m).sum(0))
 
+    def whole(self, words: list[str], code: np.ndarray) -> tuple[str, float] | None:
+        """The full text that a file is, with its cosine."""
+        if not self.whole_names:
+            return None
+        known = np.bincount(code[code >= 0], minlength=len(self.vocabulary)) * self.idf
+        dot = known @ self.wholes
+        norm = known @ known + (code < 0).sum() * self.unseen**2  # at least: with all unknown words distinct
+        if dot.max() < WHOLE * np.sqrt(norm) - 1e-9:
+            return None
+        score, j = self.exact(words, dot)
+        return (self.whole_names[j], score) if score >= WHOLE else None
+
     def exact(self, words: list[str], dot: np.ndarray) -> tuple[float, int]:
         tf: dict[str, int] = {}
         for w in words:
@@ -95,7 +135,8 @@ class Scorer:
         return float(dot[best] / norm), best
 
     def __call__(self, text: str | None, threshold: float) -> tuple[str, float, bool] | None:
-        """The best ``(licence, cosine, whether the unit is nearly the whole file)``, if it reaches the threshold."""
+        """``(licence, cosine, whether the file is a full licence text)``: of a full text, else of the best unit that reaches the
+        threshold."""
         lines = [words_of(x) for x in (text or "").split("\n")]
         flat = [w for x in lines for w in x]
         if not flat:
@@ -104,6 +145,8 @@ class Scorer:
         code = np.array([get(w, -1) for w in flat], np.int64)
         if not (code >= 0).any():
             return None
+        if found := self.whole(flat, code):
+            return *found, True
         at = np.cumsum([0, *map(len, lines)])
         weight = np.where(code >= 0, self.idf[code], self.unseen) ** 2
         ends = np.concatenate([[0], np.cumsum(weight)])
@@ -128,13 +171,13 @@ class Scorer:
                 continue
             score, j = self.exact(flat[at[a] : at[b]], dot)
             if score >= threshold and (best is None or score > best[1] + 1e-12):
-                best = (self.names[j], score, bool(at[b] - at[a] >= WHOLE * len(flat)))
+                best = (self.names[j], score, False)
         return best
 
 
 def document_frequencies(files: DataFrame, text_col: str, templates: dict[str, list[str]]) -> tuple[dict[str, int], int]:
     """In how many files each template word occurs, and the number of files: counted in each task, then summed."""
-    vocabulary = frozenset(w for all_of in templates.values() for t in all_of for w in words_of(t))
+    vocabulary = frozenset(w for known in (templates, FULL_TEXTS) for all_of in known.values() for t in all_of for w in words_of(t))
 
     def run(it):
         import pyarrow as pa
@@ -177,7 +220,7 @@ def scan(files: DataFrame, key_col: str, path_col: str, text_col: str, threshold
     own = map_rows(files.select(F.col(key_col).cast("long"), F.col(path_col).cast("string"), F.col(text_col)), make, OWN)
     own = materialise(own.withColumn("dir", F.coalesce(directory(F.col("path")), F.lit(""))), "licence-own")
     holders = own.where("license IS NOT NULL AND path IS NOT NULL").where(F.col("whole") | F.col("path").rlike(LICENCE_NAME))
-    licensed = holders.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "license"))["license"].alias("dir_license"))
+    licensed = holders.groupBy("dir").agg(F.min(F.struct((-F.round("score", 6)).alias("s"), "path", "license"))["license"].alias("dir_license"))
     licensed = materialise(licensed.withColumnRenamed("dir", "from_dir"), "licence-dirs")
     bare = own.where("license IS NULL AND path IS NOT NULL")
     dirs = bare.groupBy("dir").agg(F.count("*").alias("files"))
@@ -203,7 +246,9 @@ def scan(files: DataFrame, key_col: str, path_col: str, text_col: str, threshold
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
-    """Documents as files of a tree by source and thousands and hundreds of their id."""
+    """Documents as files of a tree by source and thousands and hundreds of their id; each tenth is named as a notice, so that
+    its licence, if it has one, holds for its directory. (The table has no paths; these are made up.)"""
     doc = F.col("doc_id")
-    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("none")), F.floor(doc / 1000).cast("string"), F.floor(doc / 100).cast("string"), F.concat(doc.cast("string"), F.lit(".txt")))
+    name = F.when(doc % 10 == 0, F.concat(F.lit("NOTICE."), doc.cast("string"))).otherwise(F.concat(doc.cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("none")), F.floor(doc / 1000).cast("string"), F.floor(doc / 100).cast("string"), name)
     return scan(docs.select("doc_id", path.alias("path"), "text"), "doc_id", "path", "text").withColumnRenamed("key", "doc_id")
