@@ -15,7 +15,7 @@ Directories are joined by path: the distinct directories of files are exploded i
 is deep), joined with licensed directories, and the deepest match wins; files then join their directory.
 
 Defined results: null texts have no licence of their own; of equal cosines the first template wins; of several licence
-files in a directory the one of the largest cosine (to six places), then of the smallest path; a null path inherits nothing; repeated rows
+files in a directory the one of the largest cosine (to six places), then of the smallest path, then the first licence by name; a null path inherits nothing; repeated rows
 give repeated results; very long lines and files are scored whole, in memory proportional to their words; other columns are
 ignored; an empty table gives no rows.
 """
