@@ -46,7 +46,7 @@ def test_inheritance_against_sql(spark):
     want = con.execute(r"""
     WITH f AS (SELECT key, path, origin = 'own' AS own, CASE WHEN origin = 'own' THEN license END AS license, score, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM found),
     h AS (SELECT dir, first(license ORDER BY score DESC, path, license) AS license FROM f WHERE own AND regexp_matches(path, '(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([-._][^/]*)?$') GROUP BY dir),
-    m AS (SELECT f.key, h.license, h.dir, row_number() OVER (PARTITION BY f.key ORDER BY length(h.dir) DESC) AS n FROM f JOIN h ON f.dir = h.dir OR h.dir = '' OR starts_with(f.dir, h.dir || '/') WHERE NOT f.own)
+    m AS (SELECT f.key, h.license, h.dir, row_number() OVER (PARTITION BY f.key ORDER BY length(h.dir) DESC) AS n FROM f JOIN h ON f.dir = h.dir OR h.dir = '' OR starts_with(f.dir, h.dir || '/') WHERE NOT f.own AND f.path IS NOT NULL)
     SELECT f.key, coalesce(f.license, m.license), CASE WHEN f.own THEN 'own' WHEN m.key IS NOT NULL THEN 'inherited' ELSE 'none' END, m.dir
     FROM f LEFT JOIN m ON m.key = f.key AND n = 1 ORDER BY 1""").fetchall()
     none = lambda x: None if x != x else x
