@@ -130,3 +130,30 @@ def test_empty_tables(spark, done):
     assert stats.migration_status(none).first().src_total == 0
     assert stats.max_depth(none).first().max_depth == -1
     assert stats.status_flags(none).first().empty
+
+
+def test_one_plan_gives_what_the_loop_gives(spark):
+    """Random trees with missing, orphaned and unmatched folders, files of folders' names, and older and newer files."""
+    import random
+
+    for seed in (1, 2):
+        r = random.Random(seed)
+        sides = []
+        for _ in range(2):
+            rows = [("/r1",)]
+            for i in range(150):
+                path = "".join(f"/{r.choice('abc')}" for _ in range(r.randint(1, 5)))
+                rows.append((path, r.choice(["folder", "folder", "file"]), None, f"2025-01-0{r.randint(1, 3)}T00:00:00Z"))
+            sides.append(listing(spark, *{x[0]: x for x in rows}.values()))
+        one, src, dst = engine.reconcile(*sides), *(engine.laid_out(x) for x in sides)
+        loop = engine.advance(engine.seed(src.where("_depth = 0"), dst.where("_depth = 0")), src, dst)
+        for name in ("src", "dst", "pairs"):
+            a, b = (sorted(map(repr, getattr(s, name).collect())) for s in (one, loop))
+            assert a == b and len(a) > 5
+        assert one.rounds == loop.rounds
+
+
+def test_repeated_names_go_through_the_loop(spark):
+    rows = [("/a",), ("/a",), ("/a/x", "file")]
+    done = engine.reconcile(listing(spark, *rows), listing(spark, *rows))
+    assert done.dst.count() == 3 and done.pairs.count() == 3

@@ -1,6 +1,12 @@
-"""The level loop: source level N+1 is written before destination level N is compared.
+"""Expansion and comparison of two trees.
 
-Each level is one join of the frontier with the listing of the level below (listings are laid out by path depth, so a level
+A fresh run over whole listings needs no loop (``at_once``): a node is reached if all folders above it are listed, and a
+destination node is compared if all folders above it have a counterpart, so one join by parent, type and name finds all
+pairs, and what hangs below unmatched or missing folders is taken out by one semi join of ancestor paths. What that plan
+doesn't cover goes through the level loop: listings that fail, suspension between levels, resumed runs, retry sweeps, and
+listings with repeated names. Both give the same state.
+
+The level loop: source level N+1 is written before destination level N is compared. Each level is one join of the frontier with the listing of the level below (listings are laid out by path depth, so a level
 reads its own part only), written to the shared folder. The loop starts at the lowest pending depth of a state, so a fresh
 run, a resumed one and a retry sweep are the same: what isn't below a pending folder is never listed again. Statuses that
 whole levels share are set once, at the end.
@@ -15,7 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import path_depth
+from ..functions.scalar import newer, node_id, normalise_path, path_depth
 from ..operators import compare, expand
 from ..schema import NODES
 from .store import written
@@ -49,10 +55,73 @@ def seed(src_listing: DataFrame, dst_listing: DataFrame) -> State:
 def reconcile(src_listing: DataFrame, dst_listing: DataFrame, failing: Callable[[DataFrame], DataFrame] | None = None, stop: Callable[[int], bool] | None = None) -> State:
     """Expand both trees from their roots and compare them. ``failing`` picks, of a frontier, the folders whose listing
     fails for good; ``stop`` is asked before each level (suspend)."""
+    if failing is None and stop is None:
+        src_listing, dst_listing = written(src_listing, "listing"), written(dst_listing, "listing")
+        if _each_once(src_listing) and _each_once(dst_listing):
+            return at_once(src_listing, dst_listing)
     src_list, dst_list = laid_out(src_listing), laid_out(dst_listing)
     return advance(seed(src_list.where("_depth = 0"), dst_list.where("_depth = 0")), src_list, dst_list, failing, stop)
 
 
+def _each_once(listing: DataFrame) -> bool:
+    """Whether no parent has two entries of a type and name, and there is one root. Counted by 64-bit hashes."""
+    code = F.xxhash64("parent_path", "type", "name")
+    twice = listing.groupBy(code.alias("code")).count().where("count > 1")
+    return twice.isEmpty() and listing.where("path = '/'").count() == 1
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` (with ``path``) that aren't below a path of ``gone`` (written). A path is cut at each depth that ``gone`` has, so
+    there is one anti join for each of these depths, and rows aren't multiplied."""
+    for (depth,) in sorted(gone.select(path_depth(F.col("path"))).distinct().collect()):  # at most a row a level
+        above = F.lit("/") if depth == 0 else F.substring_index("path", "/", depth + 1)
+        tops = gone.where(path_depth(F.col("path")) == depth).select(F.col("path").alias("_top")).distinct()
+        below = (path_depth(F.col("path")) > depth) & (above == F.col("_top"))
+        rows = rows.join(tops, below, "left_anti")
+    return rows
+
+
+def _orphaned(listing: DataFrame) -> DataFrame:
+    """Paths that entries have as their parent and that aren't listed as folders: entries below them can't be reached."""
+    folders = listing.where("type = 'folder'").select(F.col("path").alias("parent_path"))
+    missing = listing.where("path <> '/'").select("parent_path").distinct().join(folders, "parent_path", "left_anti")
+    return missing.select(F.col("parent_path").alias("path"))
+
+
+def at_once(src_listing: DataFrame, dst_listing: DataFrame) -> State:
+    """The state that expanding and comparing from the roots gives, for listings that are whole (written)."""
+
+    def shaped(listing: DataFrame) -> DataFrame:
+        root = F.col("path") == "/"
+        up = F.when(root, F.lit("")).otherwise(normalise_path(F.col("parent_path")))
+        return listing.withColumn("parent_path", up)
+
+    src, dst = shaped(src_listing), shaped(dst_listing)
+    src = _without(src, written(_orphaned(src), "orphaned"))
+    keys = ["parent_path", "type", "name"]
+    theirs = src.select(*keys, F.col("path").alias("_src_path"), F.col("mtime").alias("_src_mtime"))
+    paired = written(dst.join(theirs, keys, "left"), "paired")
+    closed = paired.where("_src_path IS NULL AND type = 'folder'").select("path").unionByName(_orphaned(dst))
+    paired = _without(paired, written(closed, "closed"))
+    hit, folder, root = F.col("_src_path").isNotNull(), F.col("type") == "folder", F.col("path") == "/"
+    copied = F.when(hit & folder, F.lit("successful")).when(hit, F.when(newer(F.col("mtime"), F.col("_src_mtime")), F.lit("successful")).otherwise(F.lit("pending")))
+
+    def nodes(rows: DataFrame, side: str, status, copy_status) -> DataFrame:
+        parent = F.when(root, F.lit("")).otherwise(node_id(side, F.col("parent_path")))
+        service = F.when(root, F.lit("")).otherwise(F.col("parent_service_id"))
+        return expand.as_nodes(rows, side, parent, service, path_depth(F.col("path")), status, copy_status)
+
+    marks = paired.where(hit & ~root).select(F.col("_src_path").alias("path"), "type", copied.alias("_copy"))
+    src_nodes = nodes(src.join(marks, ["path", "type"], "left"), "SRC", F.lit("successful"), F.when(root, F.lit("")).otherwise(F.coalesce("_copy", F.lit("pending"))))
+    dst_nodes = nodes(paired, "DST", F.when(hit, F.lit("successful")).otherwise(F.lit("not_on_src")), F.lit(""))
+    pairs = paired.where(hit).select(node_id("SRC", F.col("_src_path")).alias("src_id"), node_id("DST", F.col("path")).alias("dst_id"))
+    depth = path_depth(F.col("path")).alias("depth")
+    found = src.select(F.lit("SRC").alias("side"), depth, folder.alias("open")).unionByName(paired.select(F.lit("DST").alias("side"), depth, (folder & hit).alias("open")))
+    levels = {(r.side, r.depth): r for r in found.groupBy("side", "depth").agg(F.count("*").alias("n"), F.count_if("open").alias("open")).collect()}  # two rows a level
+    rounds = [(side, d, levels[side, d].open, levels[side, d + 1].n if (side, d + 1) in levels else 0) for d in sorted({d for _, d in levels}) for side in ("SRC", "DST") if (side, d) in levels and levels[side, d].open]
+    return State(src_nodes, dst_nodes, pairs, rounds)
+
+
 def advance(state: State, src_list: DataFrame, dst_list: DataFrame, failing: Callable[[DataFrame], DataFrame] | None = None, stop: Callable[[int], bool] | None = None) -> State:
     """Expand and compare what is pending in ``state``. The listings are laid out by depth."""
     both = state.src.select("depth", "traversal_status", "type").unionByName(state.dst.select("depth", "traversal_status", "type"))
