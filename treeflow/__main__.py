@@ -1,4 +1,5 @@
-"""``python -m treeflow -config run.json``: reconcile two trees and print the report."""
+"""``python -m treeflow -config run.json``: reconcile two trees and print the report; ``-inspect`` shows the state, ``-sweep`` lists
+failed folders (or the source folders given) again."""
 
 from __future__ import annotations
 
@@ -8,16 +9,21 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from .lifecycle import Config, VerificationError, migrate
+from .lifecycle import Config, Run, VerificationError, migrate
 
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="treeflow")
     parser.add_argument("-config", "--config", required=True)
-    config = Config.from_json(Path(parser.parse_args(args).config).read_text(), command_line=True)
+    parser.add_argument("-inspect", "--inspect", action="store_true")
+    parser.add_argument("-sweep", "--sweep", nargs="*", metavar="PATH")
+    asked = parser.parse_args(args)
+    config = Config.from_json(Path(asked.config).read_text(), command_line=True)
     spark = SparkSession.builder.appName("treeflow").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        for name, value in migrate(spark, config).items():
+        run = Run(spark, config)
+        done = run.inspect() if asked.inspect else migrate(spark, config) if asked.sweep is None else run.sweep(asked.sweep or None)
+        for name, value in done.items():
             print(f"{name}: {value}")
     except VerificationError as e:
         print(e, file=sys.stderr)

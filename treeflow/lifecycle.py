@@ -8,15 +8,17 @@ import threading
 import time
 from dataclasses import asdict, dataclass, field
 from enum import Enum
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import stats
+from .operators import retry, state, stats
 from .plans import engine
-from .plans.store import SnapshotStore
+from .plans.store import SnapshotStore, written
 
 
+# The names of the checkpoints in state documents.
 class Checkpoint(str, Enum):
     ROOTS_SET = "Roots-Set"
     FILTERS_SET = "Filters-Set"
@@ -103,6 +105,15 @@ def verify(nodes: DataFrame, options: Verify) -> dict:
     return report
 
 
+def _unreadable(src: DataFrame, dst: DataFrame):
+    """Picks, of a frontier, the folders that a listing says it couldn't read; None if there are none."""
+    bad = [df.where("error IS NOT NULL").select(F.lit(side).alias("side"), "path") for side, df in (("SRC", src), ("DST", dst)) if "error" in df.columns]
+    if not bad:
+        return None
+    bad = written(reduce(DataFrame.unionByName, bad), "unreadable")
+    return None if bad.isEmpty() else lambda frontier: frontier.join(bad, ["side", "path"], "left_semi")
+
+
 class Run:
     """A run: ``start`` in a thread, ``shutdown`` suspends it between levels, ``wait`` gives the report."""
 
@@ -129,27 +140,25 @@ class Run:
     # running
     def run(self) -> dict:
         """Fresh, resumed or already complete: traverse what is left, then verify."""
-        from .sources.local_fs import open_source
-
         checkpoint = self.state().get("checkpoint")
         if checkpoint in (Checkpoint.PATH_REVIEW.value, Checkpoint.COMPLETE.value):
             tables = self._tables()
             return self._verified(tables["src_nodes"].unionByName(tables["dst_nodes"]))
         if checkpoint is None:
             self._save(Checkpoint.ROOTS_SET, {})
-        src, dst = (open_source(self.spark, **dict(x)) for x in (self.config.source, self.config.destination))
+        src, dst = self._listings()
         for side, listing in (("source", src), ("destination", dst)):
             if listing.where(F.col("path") == "/").isEmpty():
                 raise ValueError(f"the {side} has no root")
         self._suspended = self._tables()  # paths of the version now current; the next ones don't overwrite it
         self._save(Checkpoint.TRAVERSAL_RUNNING, self._suspended)
-        stop = lambda depth: self._stop.is_set()
+        stop, failing = (lambda depth: self._stop.is_set()), _unreadable(src, dst)
         if checkpoint == Checkpoint.TRAVERSAL_SUSPENDED.value:  # go on at the lowest pending depth
             t = self._suspended
             before = engine.State(t["src_nodes"], t["dst_nodes"], t["pairs"], [tuple(r) for r in self.state().get("rounds", [])])
-            done = engine.advance(before, engine.laid_out(src), engine.laid_out(dst), stop=stop)
+            done = engine.advance(before, engine.laid_out(src), engine.laid_out(dst), failing, stop)
         else:
-            done = engine.reconcile(src, dst, stop=stop)
+            done = engine.reconcile(src, dst, failing, stop)
         tables = {"src_nodes": done.src, "dst_nodes": done.dst, "pairs": done.pairs}
         rounds = [list(r) for r in done.rounds]
         if self._stop.is_set():
@@ -158,6 +167,36 @@ class Run:
         self._save(Checkpoint.PATH_REVIEW, tables, rounds=rounds)
         return self._verified(self.store.load("src_nodes").unionByName(self.store.load("dst_nodes")))
 
+    def _listings(self) -> tuple[DataFrame, DataFrame]:
+        """Both sources; an adapter that reads folders itself tries each as often as the configuration says."""
+        from .sources.local_fs import open_source, service_type
+
+        options = [dict(x) | ({"attempts": self.config.max_retries} if service_type(x) == "local" else {}) for x in (self.config.source, self.config.destination)]
+        src, dst = (open_source(self.spark, **x) for x in options)
+        return src, dst
+
+    def sweep(self, paths: list[str] | None = None) -> dict:
+        """List again what failed, or the source folders at ``paths`` with all that hangs on them, and verify."""
+        t = self._tables()
+        if not t:
+            raise ValueError("there is no state to sweep")
+        s = engine.State(t["src_nodes"], t["dst_nodes"], t["pairs"], [tuple(r) for r in self.state().get("rounds", [])])
+        if paths is None:
+            again = lambda nodes: state.transition(nodes, nodes.where("traversal_status = 'failed'").select("id"), "pending")
+            s = engine.State(again(s.src), again(s.dst), s.pairs, s.rounds)
+        else:
+            s = retry.invalidate(s, retry.ids_of("SRC", self.spark.createDataFrame([(p,) for p in paths], "path string")))
+        src, dst = self._listings()
+        done = retry.sweep(s, src, dst, _unreadable(src, dst))
+        self._save(Checkpoint(self.state()["checkpoint"]), {"src_nodes": done.src, "dst_nodes": done.dst, "pairs": done.pairs}, rounds=[list(r) for r in done.rounds])
+        return self._verified(self.store.load("src_nodes").unionByName(self.store.load("dst_nodes")))
+
+    def inspect(self) -> dict:
+        """Checkpoint, and totals, pending, failed and smallest pending depth of both sides."""
+        t = self._tables()
+        doc = {"checkpoint": self.state().get("checkpoint")}
+        return doc | stats.migration_status(t["src_nodes"].unionByName(t["dst_nodes"])).first().asDict() if t else doc
+
     def _verified(self, nodes: DataFrame) -> dict:
         return verify(nodes, self.config.verify)
 
@@ -187,12 +226,13 @@ class Run:
 
 
 def migrate(spark: SparkSession, config: Config) -> dict:
-    """Run to the end; an interrupt suspends between levels."""
+    """Run to the end; an interrupt or a request to terminate suspends between levels."""
     run = Run(spark, config)
     if threading.current_thread() is threading.main_thread():
-        before = signal.signal(signal.SIGINT, lambda *_: run.shutdown())
+        before = {x: signal.signal(x, lambda *_: run.shutdown()) for x in (signal.SIGINT, signal.SIGTERM)}
         try:
             return run.run()
         finally:
-            signal.signal(signal.SIGINT, before)
+            for x, handler in before.items():
+                signal.signal(x, handler)
     return run.run()

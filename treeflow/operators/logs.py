@@ -42,3 +42,14 @@ def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
     packet = F.from_json(F.col(column), "timestamp string, level string, message string, entity string, entity_id string, queue string")
     out = lines.select(packet.alias("p")).where("p IS NOT NULL AND p.level IS NOT NULL")
     return out.select(F.sha2(F.to_json("p"), 256).alias("id"), "p.timestamp", "p.level", "p.entity", "p.entity_id", "p.message", "p.queue")
+
+
+def with_ids(logs: DataFrame) -> DataFrame:
+    """Logs that have no id get a random one (UUID, version 4). Write the result before it is used twice."""
+    return logs.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), F.uuid()))
+
+
+def in_order(logs: DataFrame, level: str | None = None, key: str | None = None) -> DataFrame:
+    """Logs of one level or of all levels, or the one of an id; by level, then id."""
+    out = logs if level is None else logs.where(F.lower("level") == level.lower())
+    return in_level_order(out if key is None else out.where(F.col("id") == key))

@@ -47,3 +47,9 @@ def external_json(metrics: DataFrame) -> DataFrame:
     """``queue_key, metrics_json`` from metric columns."""
     fields = [c for c in metrics.columns if c != "queue_key"]
     return metrics.select("queue_key", F.to_json(F.struct(*fields)).alias("metrics_json"))
+
+
+def throughput(reports: DataFrame) -> DataFrame:
+    """Rows a second of each report (``queue, processed, flushed, seconds``); 0 where no time has passed."""
+    rate = lambda c: F.when(F.col("seconds") > 0, F.col(c) / F.col("seconds")).otherwise(F.lit(0.0)).alias(f"{c}_per_second")
+    return reports.select("queue", "processed", "flushed", "seconds", rate("processed"), rate("flushed"))

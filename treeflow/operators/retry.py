@@ -26,16 +26,23 @@ def invalidate(s: engine.State, src_ids: DataFrame) -> engine.State:
     return engine.State(written(src, "src"), written(dst, "dst"), written(pairs, "pairs"), s.rounds)
 
 
-def sweep(s: engine.State, src_listing: DataFrame, dst_listing: DataFrame) -> engine.State:
+def sweep(s: engine.State, src_listing: DataFrame, dst_listing: DataFrame, failing=None) -> engine.State:
     """Expand what is pending, at any level, and compare again. Ids are deterministic, so what is found again keeps its id;
     nodes that aren't below a pending folder stay as they are. Excluded nodes aren't pending, so they are skipped. The pair
     of a pending source folder is compared again too."""
     open_src = s.src.where("traversal_status = 'pending' AND type = 'folder'").select(F.col("id").alias("src_id"))
     partners = s.pairs.join(open_src, "src_id", "left_semi").select(F.col("dst_id").alias("id"))
     started = engine.State(s.src, mark_pending(s.dst, partners), s.pairs, s.rounds)
-    out = engine.advance(started, engine.laid_out(src_listing), engine.laid_out(dst_listing))
+    src_listing, dst_listing = (_below(listing, nodes) for listing, nodes in ((src_listing, started.src), (dst_listing, started.dst)))
+    out = engine.advance(started, engine.laid_out(src_listing), engine.laid_out(dst_listing), failing)
     return engine.State(written(out.src, "src"), written(out.dst, "dst"), written(out.pairs, "pairs"), out.rounds)
 
 
+def _below(listing: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The part of a listing that hangs below pending folders: what a sweep reads and lays out."""
+    pending = nodes.where("traversal_status = 'pending' AND type = 'folder'").select("path")
+    return engine.below(listing, written(pending, "pending"))
+
+
 def ids_of(side: str, paths: DataFrame) -> DataFrame:
     return paths.select(node_id(side, F.col("path")).alias("id"))

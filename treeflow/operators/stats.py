@@ -118,3 +118,18 @@ def parity(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     b = right.groupBy(*keys).agg(F.count("*").alias("right_count"))
     out = a.join(b, list(keys), "full_outer").na.fill(0, ["left_count", "right_count"])
     return out.where("left_count <> right_count")
+
+
+def bucket_counts(stats: DataFrame, paths: DataFrame) -> DataFrame:
+    """The counts of the buckets asked for (``bucket_path``); 0 for one that isn't there."""
+    return paths.select("bucket_path").join(stats.select("bucket_path", "count"), "bucket_path", "left").select("bucket_path", F.coalesce("count", F.lit(0)).alias("count"))
+
+
+def by_path(stats: DataFrame) -> DataFrame:
+    """Bucket counts in the order of their paths."""
+    return stats.orderBy("bucket_path")
+
+
+def round_totals(rounds: DataFrame) -> DataFrame:
+    """Expected, completed and failed work of each side over all its rounds (``round_stats``)."""
+    return rounds.groupBy("side").agg(F.count("*").alias("rounds"), *[F.sum(c).alias(c) for c in ("expected", "completed", "failed")])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import closure, compare, etl, expand, logs, lookups, metrics, retry, state, stats
+from ..schema import LOGS, QUEUE_STATS
 from ..sources import star_tree
 from . import engine
 from .store import written
@@ -225,6 +226,38 @@ on_state("a27_summary", "SELECT side, count(*) AS total, count(*) FILTER (traver
 on_state("s24_source_parity", "SELECT (SELECT count(*) FROM src) AS nodes, (SELECT count(*) FROM sl) AS listed, (SELECT count(*) FROM src) - (SELECT count(*) FROM sl) AS difference")(lambda s, spark, sf: stats.source_parity(nodes_of(s), star_tree.src_listing(spark, sf)))
 
 
+STATS_SQL = "st AS (SELECT side || '/' || traversal_status AS bucket_path, count(*) AS count FROM varied GROUP BY ALL)"
+
+
+def _bucket_table(s) -> DataFrame:
+    return varied(nodes_of(s)).groupBy(F.concat_ws("/", "side", "traversal_status").alias("bucket_path")).agg(F.count("*").alias("count"))
+
+
+query("a04_bucket_counts", "SELECT q.p AS bucket_path, coalesce(st.count, 0) AS count FROM (VALUES ('SRC/pending'), ('DST/not_on_src'), ('SRC/not_on_src'), ('nothing')) q(p) LEFT JOIN st ON st.bucket_path = q.p", f"{BASE}, {STATS_SQL}")(
+    lambda spark, sf: stats.bucket_counts(_bucket_table(reconciled(spark, sf)), spark.createDataFrame([(p,) for p in ("SRC/pending", "DST/not_on_src", "SRC/not_on_src", "nothing")], "bucket_path string"))
+)
+query("l05_stats_by_path", "SELECT row_number() OVER (ORDER BY bucket_path) - 1 AS place, bucket_path, count FROM st", f"{BASE}, {STATS_SQL}")(
+    lambda spark, sf: _numbered(stats.by_path(_bucket_table(reconciled(spark, sf))))
+)
+on_state("a22_round_totals", """SELECT side, count(*) AS rounds, CAST(sum(expected) AS BIGINT) AS expected, CAST(sum(completed) AS BIGINT) AS completed, CAST(sum(failed) AS BIGINT) AS failed FROM (
+  SELECT side, depth, count(*) AS expected, count(*) FILTER (traversal_status IN ('successful', 'failed')) AS completed, count(*) FILTER (traversal_status = 'failed') AS failed
+  FROM varied WHERE type = 'folder' AND traversal_status <> 'not_on_src' GROUP BY side, depth) GROUP BY side""")(lambda s, *_: stats.round_totals(stats.round_stats(varied(nodes_of(s)))))
+on_state("f04_pending_roots", "SELECT side, path FROM nodes WHERE depth = 0")(lambda s, *_: lookups.pending_folders(state.transition(nodes_of(s), nodes_of(s).where("depth <= 1").select("id"), "pending"), 0).select("side", "path"))
+on_state("f10_path_scan", "SELECT id, type FROM src WHERE path = '/ASIA/CHINA'")(lambda s, *_: lookups.by_path(s.src, "/ASIA/CHINA").select("id", "type"))
+on_state("f15_open_top_folders", "SELECT path FROM src WHERE depth = 1 AND type = 'folder' AND name >= 'B'")(
+    lambda s, *_: lookups.top_level_folders(state.set_excluded(s.src, s.src.where("depth = 1 AND name < 'B'"))).where("NOT explicit_excluded").select("path")
+)
+on_state("u13_marked", "SELECT id, CASE depth WHEN 1 THEN 'pending' WHEN 2 THEN 'failed' ELSE traversal_status END AS traversal_status, depth = 3 AS explicit_excluded FROM src")(
+    lambda s, *_: state.set_excluded(state.transition(state.transition(s.src, s.src.where("depth = 1"), "pending"), s.src.where("depth = 2"), "failed"), s.src.where("depth = 3")).select("id", "traversal_status", "explicit_excluded")
+)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows (a bounded report: a row a bucket) with their place in the order they have."""
+    spark, held = rows.sparkSession, rows.collect()
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(held)], "place long, bucket_path string, count long")
+
+
 def _deltas(nodes: DataFrame) -> DataFrame:
     counted = nodes.groupBy(F.concat_ws("/", "side", "traversal_status").alias("bucket_path")).agg(F.count("*").alias("count"))
     gone = F.when(F.col("bucket_path").endswith("/failed"), -F.col("count") - 5).otherwise(F.lit(-1))
@@ -273,6 +306,7 @@ on_state("p07_dst_nodes_table", TABLE_SQL.format(side="dst", mine="dst_id", othe
 on_state("p06_status_flatten", "SELECT id, CASE WHEN depth = 2 AND name < 'F' THEN 'excluded_explicit' WHEN EXISTS (SELECT 1 FROM src e WHERE e.depth = 2 AND e.name < 'F' AND starts_with(s.path, e.path || '/')) THEN 'excluded_inherited' ELSE traversal_status END AS status FROM src s")(
     lambda s, *_: closure.inherit_exclusion(state.set_excluded(s.src, s.src.where("depth = 2 AND name < 'F'"))).select("id", etl.flat_status(F.col("explicit_excluded"), F.col("inherited_excluded"), F.col("traversal_status")).alias("status"))
 )
+on_state("u19_tables_roundtrip", f"SELECT {NODE_COLUMNS}, coalesce(dst_id, '') AS dst_id FROM src LEFT JOIN pairs ON id = src_id")(lambda s, spark, _: _through_tables(s, spark))
 on_state("p08_roundtrip", f"SELECT {NODE_COLUMNS} FROM dst")(lambda s, *_: etl.from_table(etl.to_table(s.dst, s.pairs, "DST"), "DST")[0])
 on_state("p08_roundtrip_pairs", "SELECT src_id, dst_id FROM pairs")(lambda s, *_: etl.from_table(etl.to_table(s.src, s.pairs, "SRC"), "SRC")[1])
 on_state("j15_differences", "SELECT id, 'traversal_status' AS fields FROM varied WHERE id IN (SELECT id FROM nodes n WHERE n.traversal_status <> varied.traversal_status)")(lambda s, *_: etl.differences(nodes_of(s), varied(nodes_of(s)), ["type", "name", "size", "mtime", "traversal_status", "copy_status"]))
@@ -280,7 +314,23 @@ on_state("a11_status_parity", "SELECT depth, traversal_status, a AS left_count,
 on_state("a12_join_coverage", "SELECT (SELECT count(*) FROM pairs) AS pairs, (SELECT count(*) FROM src JOIN pairs ON id = src_id) AS src_with_dst, (SELECT count(*) FROM dst JOIN pairs ON id = dst_id) AS dst_with_src")(
     lambda s, *_: s.pairs.agg(F.count("*").alias("pairs")).crossJoin(etl.to_table(s.src, s.pairs, "SRC").agg(F.count("dst_id").alias("src_with_dst"))).crossJoin(etl.to_table(s.dst, s.pairs, "DST").agg(F.count("src_id").alias("dst_with_src")))
 )
-on_state("j14_sample_missing", "SELECT id FROM src WHERE false")(lambda s, *_: etl.missing_samples(lookups.sample(s.src), etl.to_table(s.src, s.pairs, "SRC")))
+on_state("j14_sample_missing", "SELECT id FROM (SELECT id, depth FROM src ORDER BY sha256(id) LIMIT 100) WHERE depth = 5 AND right(id, 1) < '8'")(
+    lambda s, *_: etl.missing_samples(lookups.sample(s.src), etl.to_table(s.src.where("NOT (depth = 5 AND right(id, 1) < '8')"), s.pairs, "SRC"))
+)
+
+
+def _through_tables(s, spark) -> DataFrame:
+    """The five tables written and read back: source nodes with their pairs."""
+    import uuid
+
+    from .store import shared_dir
+
+    root = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+    counts = stats.bucket_stats(nodes_of(s), s.pairs)
+    etl.write_tables(spark, root, s.src, s.dst, s.pairs, counts, spark.createDataFrame([], QUEUE_STATS), spark.createDataFrame([], LOGS))
+    back = etl.read_tables(spark, root)
+    return lookups.partner(back["pairs"], back["src"]).withColumnRenamed("other_id", "dst_id").join(back["src"], "id")
+
 
 # Functions -----------------------------------------------------------------------------------------------------------
 
@@ -368,6 +418,30 @@ def _l03(spark, sf_dir):
     return logs.from_events(_events(spark, sf_dir)).select("id", "timestamp", F.row_number().over(w).cast("long").alias("place"))
 
 
+@query("a26_throughput", "SELECT queue, n AS processed, bad AS flushed, CAST(s AS DOUBLE) AS seconds, n / s AS processed_per_second, bad / s AS flushed_per_second FROM (SELECT queue, count(*) AS n, count(*) FILTER (level <> 'trace') AS bad, CAST(1000 AS DOUBLE) AS s FROM logs GROUP BY queue)", base=f"WITH {LOGS_SQL}")
+def _a26(spark, sf_dir):
+    made = logs.from_events(_events(spark, sf_dir)).groupBy("queue").agg(F.count("*").alias("processed"), F.count_if(F.col("level") != "trace").alias("flushed"), F.lit(1000.0).alias("seconds"))
+    return metrics.throughput(made)
+
+
+@query("x05_log_ids", "SELECT count(*) AS rows, count(*) AS ids, count(*) AS version4 FROM events", base="")
+def _x05(spark, sf_dir):
+    """Random ids are distinct and of version 4."""
+    made = written(logs.with_ids(logs.from_events(_events(spark, sf_dir)).withColumn("id", F.lit(None).cast("string"))).select("id"), "log-ids")
+    v4 = F.col("id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    return made.agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"), F.count_if(v4).alias("version4"))
+
+
+@query("f16_logs_of_all_levels", "SELECT level, count(*) AS n, min(id) AS first_id FROM logs GROUP BY level", base=f"WITH {LOGS_SQL}")
+def _f16_all(spark, sf_dir):
+    return logs.in_order(logs.from_events(_events(spark, sf_dir))).groupBy("level").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+@query("f16_log_by_id", "SELECT * FROM logs WHERE id = '17'", base=f"WITH {LOGS_SQL}")
+def _f16_id(spark, sf_dir):
+    return logs.in_order(logs.from_events(_events(spark, sf_dir)), key="17")
+
+
 @query("z03_queue_stats", "SELECT queue, CAST(count(*) AS BIGINT) AS total_discovered, CAST(count(*) FILTER (level = 'error') AS BIGINT) AS total_failed FROM logs GROUP BY queue", base=f"WITH {LOGS_SQL}")
 def _z03(spark, sf_dir):
     """Metrics written as JSON and read back."""
@@ -438,16 +512,28 @@ def _streamed(spark: SparkSession, stream: DataFrame, label: str, mode: str) ->
     return spark.read.parquet(f"{place}/rows")
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.readStream.schema(_events(spark, sf_dir).schema).option("pathGlobFilter", "events.parquet")
-    return files.parquet(sf_dir)  # a stream reads folders
+def _event_stream(spark: SparkSession, sf_dir: str, files: int = 5) -> DataFrame:
+    """The events as a stream of several micro-batches, in order of time; days and hours are spread over batches."""
+    import uuid
+
+    from .store import shared_dir
+
+    events, place = _events(spark, sf_dir), f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    events.repartitionByRange(files, "ts", "event_id").sortWithinPartitions("ts").write.parquet(place)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(place)
+
+
+def _last(rows: DataFrame, *keys: str) -> DataFrame:
+    """The row of the last micro-batch for each key."""
+    values = [c for c in rows.columns if c not in (*keys, "epoch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("v")).select(*keys, "v.*")
 
 
 @query("t07_streaming_ema")
 def _t07(spark, sf_dir):
     from ..streaming.metrics_stream import ema_stream
 
-    rows = _streamed(spark, ema_stream(_event_stream(spark, sf_dir)), "t07", "update")
+    rows = _last(_streamed(spark, ema_stream(_event_stream(spark, sf_dir)), "t07", "update"), "queue", "t")
     return rows.select(F.col("queue").alias("event_type"), F.col("t").alias("day"), F.round(F.col("rate") * 1e9).cast("long").alias("nano_rate"))
 
 
@@ -456,10 +542,11 @@ ORACLES["t07_streaming_ema"] = ORACLES["a24_ema_rate"]
 
 @query("t08_windowed_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS start, event_type, count(*) AS n FROM events GROUP BY ALL", base="")
 def _t08(spark, sf_dir):
-    """Counts by hour: the streaming operator on a table, where all windows are final."""
+    """Counts by hour from a stream of several micro-batches; the last count of each window."""
     from ..streaming.metrics_stream import windowed_counts
 
-    return windowed_counts(_events(spark, sf_dir)).select(scalar.rfc3339(F.col("start")).alias("start"), "event_type", "n")
+    rows = _last(_streamed(spark, windowed_counts(_event_stream(spark, sf_dir), late="400 days"), "t08", "update"), "start", "event_type")
+    return rows.select(scalar.rfc3339(F.col("start")).alias("start"), "event_type", "n")
 
 
 @query("t06_streaming_logs", "SELECT level, queue, count(*) AS n FROM logs GROUP BY level, queue", base=f"WITH {LOGS_SQL}")

@@ -81,6 +81,19 @@ def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows
 
 
+def below(rows: DataFrame, tops: DataFrame) -> DataFrame:
+    """``rows`` (with ``path``) that are below a path of ``tops`` (written), each once."""
+    depths = [d for (d,) in sorted(tops.select(path_depth(F.col("path"))).distinct().collect())]  # at most a row a level
+    parts = []
+    for depth in depths:
+        inside = rows.where(path_depth(F.col("path")) > depth)
+        if parts:  # not what a shorter path holds already
+            inside = _without(inside, tops.where(path_depth(F.col("path")) < depth))
+        own = tops.where(path_depth(F.col("path")) == depth).select(F.col("path").alias("_top")).distinct()
+        parts.append(inside.join(own, (F.lit("/") if depth == 0 else F.substring_index("path", "/", depth + 1)) == F.col("_top"), "left_semi"))
+    return _union(parts) if parts else rows.limit(0)
+
+
 def _orphaned(listing: DataFrame) -> DataFrame:
     """Paths that entries have as their parent and that aren't listed as folders: entries below them can't be reached."""
     folders = listing.where("type = 'folder'").select(F.col("path").alias("parent_path"))

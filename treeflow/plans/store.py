@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -10,13 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _OWN: dict[str, str] = {}
+MANIFEST = re.compile(r"manifest-(\d+)\.json")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's part of the folder in ``spark.checkpoint.dir``; where that is unset, a folder of its own."""
+    """This application's part of the folder in ``spark.checkpoint.dir``; where that is unset and driver and executors are one
+    process, a folder of its own."""
     app = spark.sparkContext.applicationId
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="treeflow-")
         folder = _OWN[app]
@@ -39,41 +44,52 @@ def release(spark: SparkSession) -> None:
 
 
 class SnapshotStore:
-    """Versioned tables under ``root``: ``save`` writes a new version, then moves the manifest; a failure leaves the old
-    version current."""
+    """Versioned tables under ``root``. ``save`` writes a new version's tables, then its manifest under a name of its own, moved
+    there whole; the newest manifest is the current one. Nothing current is deleted before, so a failure at any point leaves
+    the old version current."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._fs_path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _read(self, name: str) -> str | None:
-        path = self._fs_path(f"{self.root}/{name}")
-        if not self._fs.exists(path):
-            return None
-        stream = self._fs.open(path)
+    def _read(self, name: str) -> str:
+        stream = self._fs.open(self._fs_path(f"{self.root}/{name}"))
         try:
             return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
+    def _versions(self) -> list[int]:
+        """Versions that have a manifest, in order."""
+        root = self._fs_path(self.root)
+        names = [f.getPath().getName() for f in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        return sorted(int(m[1]) for n in names if (m := MANIFEST.fullmatch(n)))
+
     def manifest(self) -> dict:
-        text = self._read("manifest.json")
-        return json.loads(text) if text else {"version": 0, "tables": [], "state": {}}
+        versions = self._versions()
+        return json.loads(self._read(f"manifest-{versions[-1]}.json")) if versions else {"version": 0, "tables": [], "state": {}}
 
     def save(self, tables: dict[str, DataFrame], state: dict | None = None) -> int:
-        version = self.manifest()["version"] + 1
+        """Write the next version. The one before it stays readable (the new tables may come from it); older ones go."""
+        versions = self._versions()
+        version = versions[-1] + 1 if versions else 1
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.root}/v={version}/{name}")
         body = json.dumps({"version": version, "tables": sorted(tables), "state": state or {}})
-        new, final = self._fs_path(f"{self.root}/manifest.{version}"), self._fs_path(f"{self.root}/manifest.json")
+        self._commit(version, body)
+        for old in versions[:-1]:
+            self._fs.delete(self._fs_path(f"{self.root}/manifest-{old}.json"), False)
+            self._fs.delete(self._fs_path(f"{self.root}/v={old}"), True)
+        return version
+
+    def _commit(self, version: int, body: str) -> None:
+        new, final = self._fs_path(f"{self.root}/_manifest-{version}"), self._fs_path(f"{self.root}/manifest-{version}.json")
         out = self._fs.create(new, True)
         out.write(bytearray(body.encode()))
         out.close()
-        self._fs.delete(final, False)
         if not self._fs.rename(new, final):
             raise OSError(f"the manifest of version {version} couldn't be moved")
-        return version
 
     def load(self, name: str) -> DataFrame:
         m = self.manifest()
