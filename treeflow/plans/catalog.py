@@ -519,7 +519,9 @@ def _event_stream(spark: SparkSession, sf_dir: str, files: int = 5) -> DataFrame
     from .store import shared_dir
 
     events, place = _events(spark, sf_dir), f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
-    events.repartitionByRange(files, "ts", "event_id").sortWithinPartitions("ts").write.parquet(place)
+    cut = written(events.repartitionByRange(files, "ts", "event_id").withColumn("_part", F.spark_partition_id()), "events", "_part")
+    for part in range(files):  # one after the other, as a stream takes the oldest files first
+        cut.where(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(place)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(place)
 
 

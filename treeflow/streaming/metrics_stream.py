@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..operators.metrics import ALPHA
 
 OUT = "queue string, t long, total long, rate double"
-#: The last closed poll (time, total, rate; null before the second one), and time and count of the open one.
-STATE = "t long, total long, rate double, open_t long, open_n long"
+#: The last closed poll (time, total, rate), time and count of the open one, and how many are closed.
+STATE = "t long, total long, rate double, open_t long, open_n long, closed long"
 POLLS = "queue string, t long, n long"
 
 
@@ -27,7 +27,7 @@ def _combined(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """A poll is open until a later one comes, so its events may be spread over micro-batches; its row is given anew each
     time, and the last one counts. Events of closed polls only add to the total."""
-    before, total, rate, open_t, open_n = state.get if state.exists else (None, 0, 0.0, None, 0)
+    before, total, rate, open_t, open_n, closed = state.get if state.exists else (0, 0, 0.0, 0, 0, -1)
     found: dict[int, int] = {}
     for frame in frames:
         for t, n in zip(frame["t"].tolist(), frame["n"].tolist()):
@@ -35,18 +35,17 @@ def _update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame
     out = []
 
     def now() -> float:
-        return ALPHA * (open_n / (open_t - before)) + (1 - ALPHA) * rate if before is not None else 0.0
+        return ALPHA * (open_n / (open_t - before)) + (1 - ALPHA) * rate if closed > 0 else 0.0
 
     for t in sorted(found):
-        if open_t is not None and t < open_t:
+        if closed >= 0 and t < open_t:
             total += found[t]
             continue
-        if open_t is not None and t > open_t:
-            before, total, rate, open_n = open_t, total + open_n, now(), 0
+        if closed < 0 or t > open_t:  # the open poll, if there is one, is closed
+            before, total, rate, open_n, closed = open_t, total + open_n, now(), 0, closed + 1
         open_t, open_n = t, open_n + found[t]
         out.append((key[0], open_t, total + open_n, now()))
-    if open_t is not None:
-        state.update((before, total, rate, open_t, open_n))
+    state.update((before, total, rate, open_t, open_n, closed))
     yield pd.DataFrame(out, columns=["queue", "t", "total", "rate"])
 
 
