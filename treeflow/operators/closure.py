@@ -1,4 +1,4 @@
-"""Subtrees: everything below some nodes, level by level."""
+"""Subtrees: everything below some nodes, by their paths; level by level in tables that have only parents."""
 
 from __future__ import annotations
 
@@ -7,24 +7,41 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import path_depth
 from ..plans.store import written
 
 
 def descendants(nodes: DataFrame, roots: DataFrame, keep_roots: bool = True) -> DataFrame:
-    """``id, root_id, distance`` of the nodes below ``roots`` (``id``), any depth. Each level is written, so plans don't grow;
-    a node that is met again isn't followed (no endless loops in broken trees)."""
+    """``id, root_id, distance`` of the nodes below ``roots`` (``id``), any depth. Paths are cut at each depth that roots have
+    and joined with them, so there is one join for each of these depths, however deep the subtrees are; nodes are on the
+    side of their root, and below several roots if these hang below one another. Tables without paths are followed by parents."""
+    if "path" not in nodes.columns:
+        return _by_parents(nodes, roots, keep_roots)
+    tops = nodes.join(roots.select("id").distinct(), "id", "left_semi").select("side", F.col("id").alias("root_id"), F.col("path").alias("_top"))
+    rows = nodes.select("side", "id", "path", path_depth(F.col("path")).alias("_at"))
+    depths = sorted(d for (d,) in tops.select(path_depth(F.col("_top"))).distinct().collect())  # at most a row a level
+    parts = []
+    for depth in depths:
+        cut = F.lit("/") if depth == 0 else F.substring_index("path", "/", depth + 1)
+        inside = rows.where(F.col("_at") > depth).select("side", "id", cut.alias("_top"), (F.col("_at") - depth).alias("distance"))
+        own = tops.where(path_depth(F.col("_top")) == depth)
+        parts.append(inside.join(own, ["side", "_top"]).select("id", "root_id", "distance"))
+    if keep_roots:
+        parts.append(tops.select(F.col("root_id").alias("id"), "root_id", F.lit(0).alias("distance")))
+    return reduce(DataFrame.unionByName, parts) if parts else tops.select(F.col("root_id").alias("id"), "root_id", F.lit(0).alias("distance"))
+
+
+def _by_parents(nodes: DataFrame, roots: DataFrame, keep_roots: bool) -> DataFrame:
+    """The same by ``parent_id``. Each level and what was met so far are written, so plans don't grow; a node that is met
+    again isn't followed (no endless loops in broken trees)."""
     edges = nodes.select("id", "parent_id")
     level = written(roots.select("id", F.col("id").alias("root_id"), F.lit(0).alias("distance")).distinct(), "closure")
-    levels, distance = [level], 0
+    met = level
     while not level.isEmpty():
-        distance += 1
-        kids = edges.join(level.select(F.col("id").alias("parent_id"), "root_id"), "parent_id").select("id", "root_id", F.lit(distance).alias("distance"))
-        for seen in levels:
-            kids = kids.join(seen.select("id", "root_id"), ["id", "root_id"], "left_anti")
-        level = written(kids.distinct(), "closure")
-        levels.append(level)
-    out = reduce(DataFrame.unionByName, levels)
-    return out if keep_roots else out.where("distance > 0")
+        kids = edges.join(level.select(F.col("id").alias("parent_id"), "root_id", "distance"), "parent_id").select("id", "root_id", (F.col("distance") + 1).alias("distance"))
+        level = written(kids.distinct().join(met.select("id", "root_id"), ["id", "root_id"], "left_anti"), "closure")
+        met = written(met.unionByName(level), "met")
+    return met if keep_roots else met.where("distance > 0")
 
 
 def subtree_stats(nodes: DataFrame, roots: DataFrame) -> DataFrame:
