@@ -48,12 +48,13 @@ TOKENS = "doc_id long, source string, part int, start long, ids binary"
 # Marks that never join a following letter; words that show whether the merges can be used directly.
 MARKS = ".,;:!?*#$%&|-_)(\"/"
 PROBES = ("a", "the", "pretokenization", "straße", "éèêç", "ñandú", "über", "ø", "qqxzj")
+PROBE_TEXTS = ("Hello, World. A  b", "(Über) straße; it's 12,5 x.y", "one|two <b> #3 a_b", "Ñandú, éèêç. \"Ok\" - no!?")
 TOKENIZER = "word_bpe_49k.json"
 
 
 class Encoder:
-    """Ids of whole texts, equal to the tokenizer's own. Its pre-tokenizer drops white space and never joins across it,
-    so texts are cut at spaces and line ends and the ids of each piece are kept in a bounded cache."""
+    """Ids of whole texts, equal to the tokenizer's own. Where its pre-tokenizer drops white space and never joins across it
+    (probed), texts are cut at spaces and line ends and the ids of each piece are kept in a bounded cache."""
 
     def __init__(self, name: str):
         import public_tokenizers
@@ -72,6 +73,8 @@ class Encoder:
             self.direct = all(self.merge(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in PROBES)
         except Exception:
             self.direct = False
+        #: whether the tokenizer lower-cases, drops white space and splits as this class takes for granted; others encode whole texts
+        self.fits = all(b"".join(self.chunk(w) for w in t.split()) == self._plain(t) == self._plain(t.lower()) == self._plain(t.replace(", ", " , ").replace(" ", "\n")) for t in PROBE_TEXTS)
 
     def _plain(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
@@ -106,6 +109,8 @@ class Encoder:
         return found
 
     def __call__(self, text: str) -> bytes:
+        if not self.fits:
+            return self._plain(text)
         get = self.seen.get
         return b"".join([x if (x := get(w)) is not None else self._chunk(w) for w in text.replace("\n", " ").split(" ")])
 
@@ -132,6 +137,9 @@ class Batches:
 
     def __call__(self, texts) -> Iterator[bytes]:
         """``texts``: an Arrow array of strings without nulls."""
+        if not self.one.fits:
+            yield from map(self.one, texts.to_pylist())
+            return
         # case of ASCII letters, and full stops and commas after letters or digits, make no difference to the ids: with
         # them out of the way there are fewer different pieces. Where they could matter, texts stay as they are.
         odd = pc.match_substring_regex(texts, r"İ|<\||[^\s\pL\pN][.,](\s|$)")
