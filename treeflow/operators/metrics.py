@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import ema_step
+
 ALPHA = 0.2
 
 
@@ -15,7 +17,7 @@ def ema_rate(polls: DataFrame, key: str, ts: str, total: str, alpha: float = ALP
 
     def step(acc, x):
         dt = (x["t"] - acc["t"]).cast("double")
-        rate = F.when(dt <= 0, acc["r"]).otherwise(F.lit(alpha) * ((x["n"] - acc["n"]).cast("double") / dt) + F.lit(1 - alpha) * acc["r"])
+        rate = F.when(dt <= 0, acc["r"]).otherwise(ema_step(acc["r"], (x["n"] - acc["n"]).cast("double") / dt, alpha))
         return F.struct(x["t"].alias("t"), x["n"].alias("n"), rate.alias("r"), F.concat(acc["out"], F.array(F.struct(x["t"].alias("t"), rate.alias("r")))).alias("out"))
 
     first = F.struct(F.col("s")[0]["t"].alias("t"), F.col("s")[0]["n"].alias("n"), F.lit(0.0).alias("r"), F.array(F.struct(F.col("s")[0]["t"].alias("t"), F.lit(0.0).alias("r"))).alias("out"))

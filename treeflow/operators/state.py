@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import clamp
 from .lookups import last_by_key
 
 
@@ -73,4 +74,4 @@ def attempts(folders: DataFrame, failures: str, most: int = 3) -> DataFrame:
 def apply_deltas(stats: DataFrame, deltas: DataFrame) -> DataFrame:
     """Counts with deltas added; counts never fall below 0, and rows of 0 go."""
     both = stats.select("bucket_path", F.col("count").alias("d")).unionByName(deltas.select("bucket_path", F.col("delta").alias("d")))
-    return both.groupBy("bucket_path").agg(F.greatest(F.sum("d"), F.lit(0)).cast("long").alias("count")).where("count <> 0")
+    return both.groupBy("bucket_path").agg(clamp(F.sum("d")).cast("long").alias("count")).where("count <> 0")

@@ -424,6 +424,11 @@ def _a26(spark, sf_dir):
     return metrics.throughput(made)
 
 
+@query("x16_sides_of_queues", "SELECT id, upper(queue) AS side FROM logs", base=f"WITH {LOGS_SQL}")
+def _x16(spark, sf_dir):
+    return logs.from_events(_events(spark, sf_dir)).select("id", scalar.side_of_queue(F.col("queue")).alias("side"))
+
+
 @query("x05_log_ids", "SELECT count(*) AS rows, count(*) AS ids, count(*) AS version4 FROM events", base="")
 def _x05(spark, sf_dir):
     """Random ids are distinct and of version 4."""

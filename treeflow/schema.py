@@ -23,7 +23,6 @@ NODES = _struct(
     "type string, size long, mtime string, depth int, traversal_status string, copy_status string, explicit_excluded boolean, inherited_excluded boolean"
 )
 PAIRS = _struct("src_id string, dst_id string")
-INTENTS = _struct("side string, id string, mode string, depth int")
 STATS = _struct("bucket_path string, count long")
 QUEUE_STATS = _struct("queue_key string, metrics_json string")
 LOGS = _struct("id string, timestamp string, level string, entity string, entity_id string, message string, queue string")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..schema import LISTING
+from ..schema import LISTING, require
 
 PAUSE = 0.1
 
@@ -98,7 +98,9 @@ def open_source(spark: SparkSession, kind: str, **options) -> DataFrame:
     if kind == "star":
         return (star_tree.src_listing if options.get("side", "SRC") == "SRC" else star_tree.dst_listing)(spark, options["sf_dir"])
     if kind == "parquet":
-        return spark.read.parquet(options["path"])
+        listed = spark.read.parquet(options["path"])
+        require(listed, LISTING)  # more columns, such as ``error``, may follow
+        return listed
     raise ValueError(f"unsupported adapter: {kind}")
 
 
