@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _OWN: dict[str, str] = {}
-MANIFEST = re.compile(r"manifest-(\d+)\.json")
+MANIFEST = re.compile(r"manifest-(\d+)\.json$")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,7 +64,7 @@ class SnapshotStore:
         """Versions that have a manifest, in order."""
         root = self._fs_path(self.root)
         names = [f.getPath().getName() for f in self._fs.listStatus(root)] if self._fs.exists(root) else []
-        return sorted(int(m[1]) for n in names if (m := MANIFEST.fullmatch(n)))
+        return sorted(int(m[1]) for n in names if (m := MANIFEST.match(n)))
 
     def manifest(self) -> dict:
         versions = self._versions()
