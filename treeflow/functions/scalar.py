@@ -38,6 +38,17 @@ def child_path(parent: Column, name: Column) -> Column:
     return F.when(parent == "/", F.concat(parent, name)).otherwise(F.concat(parent, F.lit("/"), name))
 
 
+def last_name(path: Column) -> Column:
+    """The part after the last slash; '' of the root."""
+    return F.substring_index(path, "/", -1)
+
+
+def parent_of(path: Column) -> Column:
+    """The path without its last part; '' of the root."""
+    up = F.left(path, F.char_length(path) - F.char_length(last_name(path)) - 1)
+    return F.when(path == "/", F.lit("")).when(up == "", F.lit("/")).otherwise(up)
+
+
 def path_depth(path: Column) -> Column:
     return F.when(path == "/", F.lit(0)).otherwise(F.char_length(path) - F.char_length(F.replace(path, F.lit("/"), F.lit(""))))
 

@@ -20,14 +20,14 @@ def root_node(side: str, listing: DataFrame) -> DataFrame:
     return as_nodes(root, side, F.lit(""), F.lit(""), F.lit(0), F.lit("pending"), F.lit(""))
 
 
-def as_nodes(rows: DataFrame, side: str, parent_id: Column, parent_service_id: Column, depth: Column, status: Column, copy_status: Column) -> DataFrame:
-    """Listing rows as node rows; folders have no size."""
+def as_nodes(rows: DataFrame, side: str, parent_id: Column, parent_service_id: Column, depth: Column, status: Column, copy_status: Column, more: tuple[str, ...] = ()) -> DataFrame:
+    """Listing rows as node rows, with ``more`` of their columns; folders have no size."""
     return rows.select(
         F.lit(side).alias("side"), node_id(side, F.col("path")).alias("id"), "service_id", parent_id.alias("parent_id"), parent_service_id.alias("parent_service_id"),
         F.when(F.col("path") == "/", F.lit("")).otherwise(normalise_path(F.col("parent_path"))).alias("parent_path"), "name", "path", "type",
         F.when(F.col("type") == "folder", F.lit(None)).otherwise(F.coalesce("size", F.lit(0))).cast("long").alias("size"), "mtime", depth.cast("int").alias("depth"),
-        status.alias("traversal_status"), copy_status.alias("copy_status"), F.lit(False).alias("explicit_excluded"), F.lit(False).alias("inherited_excluded"),
-    ).select(*[f.name for f in NODES])
+        status.alias("traversal_status"), copy_status.alias("copy_status"), F.lit(False).alias("explicit_excluded"), F.lit(False).alias("inherited_excluded"), *more,
+    ).select(*[f.name for f in NODES], *more)
 
 
 def frontier(nodes: DataFrame) -> DataFrame:

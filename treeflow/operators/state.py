@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp
+from ..plans.store import few
 from .lookups import last_by_key
 
 
@@ -21,17 +22,20 @@ def insert_missing(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame
 
 
 def delete(nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    return nodes.join(ids.select("id").distinct(), "id", "left_anti").select(*nodes.columns)
+    return nodes.join(few(ids.select("id").distinct()), "id", "left_anti").select(*nodes.columns)
 
 
 def delete_pairs(pairs: DataFrame, ids: DataFrame, side: str) -> DataFrame:
-    key = "src_id" if side == "SRC" else "dst_id"
+    """Pairs without those of ``ids``; where ids follow from paths that both tables have (``pairs_of``), by these."""
+    key, path = ("src_id", "src_path") if side == "SRC" else ("dst_id", "dst_path")
+    if path in pairs.columns and "path" in ids.columns:
+        return pairs.join(ids.select(F.col("path").alias(path)), path, "left_anti").select(*pairs.columns)
     return pairs.join(ids.select(F.col("id").alias(key)).distinct(), key, "left_anti").select(*pairs.columns)
 
 
 def transition(nodes: DataFrame, ids: DataFrame, new: str, old: str | None = None, column: str = "traversal_status") -> DataFrame:
     """Set a status for the ids given; ids that don't exist are skipped. With ``old``, only where that is the status now."""
-    hit = nodes.join(ids.select("id", F.lit(True).alias("_hit")).distinct(), "id", "left")
+    hit = nodes.join(few(ids.select("id", F.lit(True).alias("_hit")).distinct()), "id", "left")
     change = F.coalesce(F.col("_hit"), F.lit(False))
     if old is not None:
         change = change & (F.col(column) == old)
@@ -51,15 +55,16 @@ def set_statuses(nodes: DataFrame, changes: DataFrame, column: str = "traversal_
     return out.withColumn(column, F.coalesce("_new", column)).select(*nodes.columns)
 
 
-def put_pairs(pairs: DataFrame, new: DataFrame, order: str = "seq") -> DataFrame:
+def put_pairs(pairs: DataFrame, new: DataFrame, order: str = "seq", keys: tuple[str, str] = ("src_id", "dst_id")) -> DataFrame:
     """Pairs with new ones; the last writer wins on either side, so pairs stay one to one. ``new`` has ``order``; the old
-    pairs come before it."""
-    both = pairs.withColumn(order, F.lit(-1).cast("long")).unionByName(new.select("src_id", "dst_id", F.col(order).cast("long").alias(order)))
-    return last_by_key(last_by_key(both, "src_id", order), "dst_id", order).select("src_id", "dst_id")
+    pairs come before it. ``keys``: what names the two sides, ids or paths."""
+    a, b = keys
+    both = pairs.select(a, b, F.lit(-1).cast("long").alias(order)).unionByName(new.select(a, b, F.col(order).cast("long").alias(order)))
+    return last_by_key(last_by_key(both, a, order), b, order).select(a, b)
 
 
 def set_excluded(nodes: DataFrame, ids: DataFrame, value: bool = True, column: str = "explicit_excluded") -> DataFrame:
-    hit = nodes.join(ids.select("id", F.lit(True).alias("_hit")).distinct(), "id", "left")
+    hit = nodes.join(few(ids.select("id", F.lit(True).alias("_hit")).distinct()), "id", "left")
     return hit.withColumn(column, F.when(F.col("_hit"), F.lit(value)).otherwise(F.col(column))).select(*nodes.columns)
 
 

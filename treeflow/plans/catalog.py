@@ -27,10 +27,45 @@ def reconciled(spark: SparkSession, sf_dir: str, fresh: bool = False) -> engine.
     key = (spark.sparkContext.applicationId, sf_dir)
     if fresh or key not in _STATES:
         s = engine.reconcile(star_tree.src_listing(spark, sf_dir), star_tree.dst_listing(spark, sf_dir))
-        _STATES[key] = engine.State(written(s.src, "src"), written(s.dst, "dst"), written(s.pairs, "pairs"), s.rounds)
+        _STATES[key] = s if s.both is not None else engine.State(written(s.src, "src"), written(s.dst, "dst"), written(s.pairs, "pairs"), s.rounds)
     return _STATES[key]
 
 
+def _paired(s: engine.State, side: str, lists: bool = False) -> DataFrame:
+    """A side's nodes with ``other_id``, ``other_path`` and ``other_mtime`` of their pairs. A reconciled state holds pairs in a row; one that
+    came by the level loop is joined."""
+    if s.both is not None:
+        return engine.with_partners(s.both, side, lists)
+    (mine, other), (nodes, theirs) = (("src_id", "dst_id"), (s.src, s.dst)) if side == "SRC" else (("dst_id", "src_id"), (s.dst, s.src))
+    theirs = theirs.select(F.col("id").alias(other), F.col("path").alias("other_path"), F.col("mtime").alias("other_mtime")).join(s.pairs, other)
+    return nodes.join(theirs.withColumnsRenamed({mine: "id", other: "other_id"}), "id", "left")
+
+
+def _pairs(s: engine.State) -> DataFrame:
+    return s.pairs if s.both is None else engine.pairs_of(s.both)  # paths; ``engine.pair_ids`` last
+
+
+def _table_of(s: engine.State, side: str) -> DataFrame:
+    """A side's relational table."""
+    if s.both is not None:
+        return etl.to_table(_paired(s, side, lists=True), None, side)
+    return etl.to_table(s.src if side == "SRC" else s.dst, s.pairs, side)
+
+
+def _last_pairs(s: engine.State) -> DataFrame:
+    """The pairs put again: by paths where ids follow from them."""
+    if s.both is None:
+        return state.put_pairs(s.pairs, s.pairs.withColumn("seq", F.lit(1)))
+    pairs = engine.pairs_of(s.both)
+    kept = state.put_pairs(pairs, pairs.withColumn("seq", F.lit(1)), keys=("src_path", "dst_path"))
+    return engine.pair_ids(kept)
+
+
+def _kept_pairs(s: engine.State) -> DataFrame:
+    kept = state.delete_pairs(_pairs(s), s.src.where("depth = 5"), "SRC")
+    return kept if s.both is None else engine.pair_ids(kept)
+
+
 def nodes_of(s: engine.State) -> DataFrame:
     return s.src.unionByName(s.dst)
 
@@ -319,6 +354,11 @@ on_state("j14_sample_missing", "SELECT id FROM (SELECT id, depth FROM src ORDER
 )
 
 
+def _differences(s) -> DataFrame:
+    a, b, columns = nodes_of(s), varied(nodes_of(s)), ["type", "name", "size", "mtime", "traversal_status", "copy_status"]
+    return etl.differences(a, b, columns) if s.both is None else etl.differences_by_path(a, b, columns, 2 * s.both.count())
+
+
 def _through_tables(s, spark) -> DataFrame:
     """The five tables written and read back: source nodes with their pairs."""
     import uuid

@@ -18,13 +18,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import newer, node_id, normalise_path, path_depth
+from ..functions.scalar import last_name, newer, node_id, normalise_path, parent_of, path_depth
 from ..operators import compare, expand
 from ..schema import NODES
-from .store import written
+from .store import dropped, few, in_passes, packed, unpacked, written
 
 COLUMNS = [f.name for f in NODES]
 
@@ -35,6 +35,7 @@ class State:
     dst: DataFrame
     pairs: DataFrame
     rounds: list[tuple[str, int, int, int]] = field(default_factory=list)  # side, depth, folders expanded, children found
+    both: DataFrame | None = None  # of a state made at once (``of_both``): a row for each pair and each node without one
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -55,84 +56,211 @@ def seed(src_listing: DataFrame, dst_listing: DataFrame) -> State:
 def reconcile(src_listing: DataFrame, dst_listing: DataFrame, failing: Callable[[DataFrame], DataFrame] | None = None, stop: Callable[[int], bool] | None = None) -> State:
     """Expand both trees from their roots and compare them. ``failing`` picks, of a frontier, the folders whose listing
     fails for good; ``stop`` is asked before each level (suspend)."""
-    if failing is None and stop is None:
-        src_listing, dst_listing = written(src_listing, "listing"), written(dst_listing, "listing")
+    if stop is None:
+        raw = [written(pack(listing), "listing") for listing in (src_listing, dst_listing)]
+        src_listing, dst_listing = (unpacked(r, _listed()) for r in raw)
         if _each_once(src_listing) and _each_once(dst_listing):
-            return at_once(src_listing, dst_listing)
+            done = at_once(*raw, failing)
+            dropped(*raw)
+            return done
     src_list, dst_list = laid_out(src_listing), laid_out(dst_listing)
     return advance(seed(src_list.where("_depth = 0"), dst_list.where("_depth = 0")), src_list, dst_list, failing, stop)
 
 
+LISTED = ("parent_path", "name", "service_id", "parent_service_id")
+ENTRY = ["_own", *LISTED, "size", "mtime"]
+
+
+def _listed() -> dict[str, Column]:
+    """What a path gives of an entry's other columns, in nearly all listings."""
+    path = F.col("path")
+    return dict(zip(LISTED, (parent_of(path), last_name(path), path, parent_of(path))))
+
+
+def pack(listing: DataFrame) -> DataFrame:
+    """A listing without what its paths give."""
+    return packed(_shaped(listing), _listed())
+
+
+def unpack(raw: DataFrame) -> DataFrame:
+    return unpacked(raw, _listed())
+
+
+def _shaped(listing: DataFrame) -> DataFrame:
+    up = F.when(F.col("path") == "/", F.lit("")).otherwise(normalise_path(F.col("parent_path")))
+    return listing.withColumn("parent_path", up).select("path", "type", *LISTED, "size", "mtime")
+
+
 def _each_once(listing: DataFrame) -> bool:
-    """Whether no parent has two entries of a type and name, and there is one root. Counted by 64-bit hashes."""
+    """Whether no parent has two entries of a type and name, and there is one root."""
+    return _no_repeats(listing) and listing.where("path = '/'").count() == 1
+
+
+def _no_repeats(listing: DataFrame) -> bool:
+    """Whether no parent has two entries of a type and name. Counted by 64-bit hashes."""
     code = F.xxhash64("parent_path", "type", "name")
-    twice = listing.groupBy(code.alias("code")).count().where("count > 1")
-    return twice.isEmpty() and listing.where("path = '/'").count() == 1
+    return written(listing.groupBy(code.alias("code")).count().where("count > 1"), "twice").isEmpty()
 
 
 def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """``rows`` (with ``path``) that aren't below a path of ``gone`` (written). A path is cut at each depth that ``gone`` has, so
     there is one anti join for each of these depths, and rows aren't multiplied."""
-    for (depth,) in sorted(gone.select(path_depth(F.col("path"))).distinct().collect()):  # at most a row a level
-        above = F.lit("/") if depth == 0 else F.substring_index("path", "/", depth + 1)
-        tops = gone.where(path_depth(F.col("path")) == depth).select(F.col("path").alias("_top")).distinct()
-        below = (path_depth(F.col("path")) > depth) & (above == F.col("_top"))
-        rows = rows.join(tops, below, "left_anti")
+    for depth in _depths(gone):
+        rows = rows.join(_tops(gone, depth), (path_depth(F.col("path")) > depth) & (_cut(depth) == F.col("_top")), "left_anti")
     return rows
 
 
+def _depths(tops: DataFrame) -> list[int]:
+    return sorted(d for (d,) in tops.select(path_depth(F.col("path"))).distinct().collect())  # at most a row a level
+
+
+def _cut(depth: int):
+    return F.lit("/") if depth == 0 else F.substring_index("path", "/", depth + 1)
+
+
+def _tops(tops: DataFrame, depth: int) -> DataFrame:
+    return few(tops.where(path_depth(F.col("path")) == depth).select(F.col("path").alias("_top")).distinct())
+
+
 def below(rows: DataFrame, tops: DataFrame) -> DataFrame:
     """``rows`` (with ``path``) that are below a path of ``tops`` (written), each once."""
-    depths = [d for (d,) in sorted(tops.select(path_depth(F.col("path"))).distinct().collect())]  # at most a row a level
-    parts = []
+    parts, depths = [], _depths(tops)
     for depth in depths:
         inside = rows.where(path_depth(F.col("path")) > depth)
         if parts:  # not what a shorter path holds already
             inside = _without(inside, tops.where(path_depth(F.col("path")) < depth))
-        own = tops.where(path_depth(F.col("path")) == depth).select(F.col("path").alias("_top")).distinct()
-        parts.append(inside.join(own, (F.lit("/") if depth == 0 else F.substring_index("path", "/", depth + 1)) == F.col("_top"), "left_semi"))
+        parts.append(inside.join(_tops(tops, depth), _cut(depth) == F.col("_top"), "left_semi"))
     return _union(parts) if parts else rows.limit(0)
 
 
-def _orphaned(listing: DataFrame) -> DataFrame:
-    """Paths that entries have as their parent and that aren't listed as folders: entries below them can't be reached."""
+def _orphaned(listing: DataFrame, tops: DataFrame | None = None) -> DataFrame:
+    """Paths that entries have as their parent and that aren't listed as folders: entries below them can't be reached. Those at
+    ``tops`` (``path``) are reached from outside the listing."""
     folders = listing.where("type = 'folder'").select(F.col("path").alias("parent_path"))
-    missing = listing.where("path <> '/'").select("parent_path").distinct().join(folders, "parent_path", "left_anti")
+    inner = listing if tops is None else listing.join(few(tops), "path", "left_anti")
+    missing = inner.where("path <> '/'").select("parent_path").distinct().join(folders, "parent_path", "left_anti")
     return missing.select(F.col("parent_path").alias("path"))
 
 
-def at_once(src_listing: DataFrame, dst_listing: DataFrame) -> State:
-    """The state that expanding and comparing from the roots gives, for listings that are whole (written)."""
-
-    def shaped(listing: DataFrame) -> DataFrame:
-        root = F.col("path") == "/"
-        up = F.when(root, F.lit("")).otherwise(normalise_path(F.col("parent_path")))
-        return listing.withColumn("parent_path", up)
-
-    src, dst = shaped(src_listing), shaped(dst_listing)
-    src = _without(src, written(_orphaned(src), "orphaned"))
-    keys = ["parent_path", "type", "name"]
-    theirs = src.select(*keys, F.col("path").alias("_src_path"), F.col("mtime").alias("_src_mtime"))
-    paired = written(dst.join(theirs, keys, "left"), "paired")
-    closed = paired.where("_src_path IS NULL AND type = 'folder'").select("path").unionByName(_orphaned(dst))
-    paired = _without(paired, written(closed, "closed"))
-    hit, folder, root = F.col("_src_path").isNotNull(), F.col("type") == "folder", F.col("path") == "/"
-    copied = F.when(hit & folder, F.lit("successful")).when(hit, F.when(newer(F.col("mtime"), F.col("_src_mtime")), F.lit("successful")).otherwise(F.lit("pending")))
-
-    def nodes(rows: DataFrame, side: str, status, copy_status) -> DataFrame:
-        parent = F.when(root, F.lit("")).otherwise(node_id(side, F.col("parent_path")))
-        service = F.when(root, F.lit("")).otherwise(F.col("parent_service_id"))
-        return expand.as_nodes(rows, side, parent, service, path_depth(F.col("path")), status, copy_status)
-
-    marks = paired.where(hit & ~root).select(F.col("_src_path").alias("path"), "type", copied.alias("_copy"))
-    src_nodes = nodes(src.join(marks, ["path", "type"], "left"), "SRC", F.lit("successful"), F.when(root, F.lit("")).otherwise(F.coalesce("_copy", F.lit("pending"))))
-    dst_nodes = nodes(paired, "DST", F.when(hit, F.lit("successful")).otherwise(F.lit("not_on_src")), F.lit(""))
-    pairs = paired.where(hit).select(node_id("SRC", F.col("_src_path")).alias("src_id"), node_id("DST", F.col("path")).alias("dst_id"))
-    depth = path_depth(F.col("path")).alias("depth")
-    found = src.select(F.lit("SRC").alias("side"), depth, folder.alias("open")).unionByName(paired.select(F.lit("DST").alias("side"), depth, (folder & hit).alias("open")))
+def _entries(listing: DataFrame, side: str, status, copy_status, more: tuple[str, ...] = ()) -> DataFrame:
+    """Listing rows as node rows, with ``more`` of their columns."""
+    root = F.col("path") == "/"
+    parent = F.when(root, F.lit("")).otherwise(node_id(side, F.col("parent_path")))
+    service = F.when(root, F.lit("")).otherwise(F.col("parent_service_id"))
+    return expand.as_nodes(listing, side, parent, service, path_depth(F.col("path")), status, copy_status, more)
+
+
+def at_once(src_raw: DataFrame, dst_raw: DataFrame, failing: Callable[[DataFrame], DataFrame] | None = None, tops: DataFrame | None = None) -> State:
+    """The state that expanding and comparing from the roots gives, for listings that are whole (written, packed by ``_listed``).
+    One full join of both sides, of what a path doesn't give; ids are made when they are read. ``failing`` must pick folders
+    by their rows alone. ``tops``: folders (``path``) that take the place of the roots, for parts of trees."""
+    own_place = F.col("_own").bitwiseAND(F.lit(3)) != 0  # a parent or a name that isn't the path's
+    keys = ["path", "type"] if src_raw.where(own_place).isEmpty() and dst_raw.where(own_place).isEmpty() else ["parent_path", "name", "type"]
+
+    def keyed(raw: DataFrame) -> DataFrame:
+        given = {"path": F.col("path"), "type": F.col("type")} | {k: F.when(F.col("_own").bitwiseAND(F.lit(1 << i)) == 0, e).otherwise(F.col(k)) for i, (k, e) in enumerate(_listed().items()) if k in keys}
+        return raw.withColumns({f"_k{i}": given[k] for i, k in enumerate(keys)})
+
+    def failed(rows: DataFrame, side: str) -> DataFrame | None:
+        if failing is None:
+            return None
+        open_folders = _entries(unpacked(rows.select("path", "type", *ENTRY), _listed()).where("type = 'folder'"), side, F.lit("pending"), F.lit("pending" if side == "SRC" else ""))
+        return written(failing(open_folders).select("path").distinct(), "failed")
+
+    at = [f"_k{i}" for i in range(len(keys))]
+    src, dst = keyed(src_raw), keyed(dst_raw)
+    src = _without(src, written(_orphaned(unpacked(src_raw, _listed()), tops), "orphaned"))
+    bad_src = failed(src, "SRC")
+    src = _without(src, bad_src) if failing else src
+    theirs = src.where("type = 'folder'").select(*at)
+    closed = dst.where("type = 'folder'").join(theirs, at, "left_anti").select("path").unionByName(_orphaned(unpacked(dst_raw, _listed()), tops))
+    dst = _without(dst, written(closed, "closed"))
+    bad_dst = failed(dst.join(theirs, at, "left_semi"), "DST") if failing else None
+    dst = _without(dst, bad_dst) if failing else dst
+
+    plain = "path" in keys  # then the keys are path and type
+
+    def sided(rows: DataFrame, x: str) -> DataFrame:
+        own = ["path", "type"] * (not plain) + [c for c in ENTRY]
+        return rows.select(*at, F.lit(True).alias(f"{x}_there"), *[F.col(c).alias(f"{x}_{c}") for c in own])
+
+    bad = {x: few(b.select(F.col("path").alias(f"{x}_path"), F.lit(True).alias("_bad"))) for b, x in ((bad_src, "s"), (bad_dst, "d")) if b is not None}
+    rows = src_raw.count() + dst_raw.count()
+    return of_both(in_passes(rows, lambda i, n: _joined(*(sided(t.where(F.pmod(F.xxhash64(*at), F.lit(n)) == i), x) for t, x in ((src, "s"), (dst, "d"))), at, dict(zip(keys, at)) if plain else {}, bad), "both"))
+
+
+def _joined(src: DataFrame, dst: DataFrame, at: list[str], given: dict[str, str], bad: dict[str, DataFrame]) -> DataFrame:
+    """Both sides joined by ``at``, with statuses. ``given``: which of the columns the keys hold; ``bad``: folders that failed."""
+    joined = src.join(dst, at, "full")
+    if given:
+        joined = joined.withColumns({f"{x}_{c}": F.when(F.col(f"{x}_there"), F.col(k)) for x in "sd" for c, k in given.items()})
+    in_src, in_dst, folder = F.col("s_there").isNotNull(), F.col("d_there").isNotNull(), F.col("type") == "folder"
+    joined = joined.withColumns({"type": F.coalesce("s_type", "d_type"), "path": F.coalesce("s_path", "d_path")})
+    copied = F.when(in_dst & folder, F.lit("successful")).when(in_dst, F.when(newer(F.col("d_mtime"), F.col("s_mtime")), F.lit("successful")).otherwise(F.lit("pending"))).otherwise(F.lit("pending"))
+    joined = joined.withColumns({
+        "s_status": F.when(in_src, F.lit("successful")), "d_status": F.when(in_dst, F.when(in_src, F.lit("successful")).otherwise(F.lit("not_on_src"))),
+        "s_copy": F.when(in_src, F.when(F.col("s_path") == "/", F.lit("")).otherwise(copied)),
+    })
+    for x, failed in bad.items():
+        joined = joined.join(failed, f"{x}_path", "left")
+        joined = joined.withColumn(f"{x}_status", F.when(F.col("_bad") & folder & in_src, F.lit("failed")).otherwise(F.col(f"{x}_status"))).drop("_bad")
+    there = {f"{x}_path": F.when(F.col(f"{x}_path") != F.col("path"), F.col(f"{x}_path")) for x in "sd"}
+    return joined.withColumns(there).select(*BOTH)
+
+
+#: A row for each pair and each node without one: ``path`` and ``type``, and what either side has of its own, without the paths that
+#: are the same.
+BOTH = ["path", "type", *[f"{x}_{c}" for x in "sd" for c in ("path", *ENTRY, "status")], "s_copy"]
+
+
+def _side(both: DataFrame, x: str) -> DataFrame:
+    """One side's listing rows (packed) out of ``both``, with its statuses, and path and time of what they are paired with."""
+    o = "d" if x == "s" else "s"
+    there = F.col(f"{o}_status").isNotNull()
+    rows = both.where(F.col(f"{x}_status").isNotNull())
+    return rows.select(
+        F.coalesce(f"{x}_path", "path").alias("path"), "type", *[F.col(f"{x}_{c}").alias(c) for c in (*ENTRY, "status")], F.col("s_copy").alias("_copy"),
+        F.when(there, F.coalesce(f"{o}_path", "path")).alias("other_path"), F.when(there, F.col(f"{o}_mtime")).alias("other_mtime"),
+    )
+
+
+def of_both(both: DataFrame, rounds: list[tuple[str, int, int, int]] | None = None) -> State:
+    """The state that reads ``both`` (written). ``rounds`` are counted unless they are given."""
+    src, dst = (with_partners(both, side).select(*COLUMNS) for side in ("SRC", "DST"))
+    pairs = pair_ids(pairs_of(both))
+    return State(src, dst, pairs, _rounds(both) if rounds is None else rounds, both)
+
+
+def _rounds(both: DataFrame) -> list[tuple[str, int, int, int]]:
+    depth, folder = path_depth(F.col("path")).alias("depth"), F.col("type") == "folder"
+    hit = F.col("other_path").isNotNull()
+    found = _side(both, "s").select(F.lit("SRC").alias("side"), depth, folder.alias("open")).unionByName(_side(both, "d").select(F.lit("DST").alias("side"), depth, (folder & hit).alias("open")))
     levels = {(r.side, r.depth): r for r in found.groupBy("side", "depth").agg(F.count("*").alias("n"), F.count_if("open").alias("open")).collect()}  # two rows a level
-    rounds = [(side, d, levels[side, d].open, levels[side, d + 1].n if (side, d + 1) in levels else 0) for d in sorted({d for _, d in levels}) for side in ("SRC", "DST") if (side, d) in levels and levels[side, d].open]
-    return State(src_nodes, dst_nodes, pairs, rounds)
+    return [(side, d, levels[side, d].open, levels[side, d + 1].n if (side, d + 1) in levels else 0) for d in sorted({d for _, d in levels}) for side in ("SRC", "DST") if (side, d) in levels and levels[side, d].open]
+
+
+def with_partners(both: DataFrame, side: str, lists: bool = False) -> DataFrame:
+    """A side's nodes with ``other_path``, ``other_id`` and ``other_mtime`` of their pairs, and with ``lists`` the paths of their
+    children (``child_paths``; only folders have any). Rows are joined before ids are made."""
+    rows = _side(both, side[0].lower())
+    extra = ["other_path", "other_id", "other_mtime"] + ["child_paths"] * lists
+    if lists:
+        kids = unpacked(rows, _listed()).where("parent_path <> ''").groupBy(F.col("parent_path").alias("_p")).agg(F.collect_list("path").alias("child_paths"))
+        folder = F.coalesce(F.col("type") == "folder", F.lit(False))
+        rows = rows.where(folder).join(kids, F.col("path") == F.col("_p"), "left").drop("_p").unionByName(rows.where(~folder).withColumn("child_paths", F.lit(None).cast("array<string>")))
+    other = "DST" if side == "SRC" else "SRC"
+    rows = unpacked(rows, _listed()).withColumn("other_id", node_id(other, F.col("other_path")))
+    return _entries(rows, side, F.col("status"), F.col("_copy") if side == "SRC" else F.lit(""), tuple(extra))
+
+
+def pairs_of(both: DataFrame) -> DataFrame:
+    """``src_path, dst_path, type`` of the pairs."""
+    return both.where("s_status IS NOT NULL AND d_status IS NOT NULL").select(F.coalesce("s_path", "path").alias("src_path"), F.coalesce("d_path", "path").alias("dst_path"), "type")
+
+
+def pair_ids(pairs: DataFrame) -> DataFrame:
+    """``src_id, dst_id`` of pairs of paths: made last, as ids take more space than paths."""
+    return pairs.select(node_id("SRC", F.col("src_path")).alias("src_id"), node_id("DST", F.col("dst_path")).alias("dst_id"))
 
 
 def advance(state: State, src_list: DataFrame, dst_list: DataFrame, failing: Callable[[DataFrame], DataFrame] | None = None, stop: Callable[[int], bool] | None = None) -> State:

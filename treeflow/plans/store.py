@@ -6,11 +6,15 @@ import json
 import re
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _OWN: dict[str, str] = {}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+FEW = 300_000  # rows of a key or two: some 30 MB
 MANIFEST = re.compile(r"manifest-(\d+)\.json$")
 
 
@@ -28,15 +32,58 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/treeflow/{app}"
 
 
+ROWS_A_PASS = 16_000_000
+
+
+def in_passes(rows: int, part, label: str) -> DataFrame:
+    """``part(i, n)`` for each i below n written to one table, one after another, so that the disk holds the shuffle files of one part
+    at a time. n grows with ``rows``; the parts together must be the whole."""
+    n = max(1, -(-rows // ROWS_A_PASS))
+    return reduce(DataFrame.unionByName, [written(part(i, n), label) for i in range(n)])
+
+
 def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: the plan starts anew there, and lost executors cost no rerun."""
+    """``df`` written to the shared folder and read back: the plan starts anew there, and lost executors cost no rerun. The
+    shuffle files of the write go as soon as it ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables from ``written`` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows``, sent to all tasks by joins if they are counted to be at most ``FEW``, so that the other side isn't dealt again."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
+def packed(rows: DataFrame, derived: dict[str, Column]) -> DataFrame:
+    """``rows`` with the columns of ``derived`` null where they are what the expression gives; ``_own`` has a bit for each that isn't.
+    Ids and parents that follow from a path so take no space in files and shuffles."""
+    same = {c: F.col(c).eqNullSafe(e) for c, e in derived.items()}
+    own = reduce(lambda a, b: a + b, [F.when(x, 0).otherwise(1 << i) for i, x in enumerate(same.values())])
+    return rows.withColumns({c: F.when(~x, F.col(c)) for c, x in same.items()} | {"_own": own})
+
+
+def unpacked(rows: DataFrame, derived: dict[str, Column]) -> DataFrame:
+    """What ``packed`` got."""
+    return rows.withColumns({c: F.when(F.col("_own").bitwiseAND(F.lit(1 << i)) == 0, e).otherwise(F.col(c)) for i, (c, e) in enumerate(derived.items())}).drop("_own")
+
+
 def release(spark: SparkSession) -> None:
     """Delete the application's intermediate tables. Results that read them must have been written before."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

@@ -39,7 +39,8 @@ def src_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").join(customer, F.col("o_custkey") == F.col("c_custkey"))
     orders = orders.select("o_orderkey", "o_orderdate", F.concat("pn", F.lit("/c"), "c_custkey").alias("pc"))
     order_rows = _rows(orders, F.col("pc"), F.concat(F.lit("o"), "o_orderkey"), "folder", 4, none, F.col("o_orderdate"), F.col("o_orderkey"))
-    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"), F.max("l_shipdate").alias("mx"))
+    dealt = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate").repartition("l_orderkey")  # once, for the sums and the join
+    lines = dealt.groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"), F.max("l_shipdate").alias("mx"))
     lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("po", F.concat("pc", F.lit("/o"), "o_orderkey"))
     line_rows = _rows(lines, F.col("po"), F.concat(F.lit("l"), "l_linenumber"), "file", 5, F.col("q"), F.col("mx"), F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     out = top
