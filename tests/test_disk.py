@@ -31,6 +31,7 @@ def whole(spark):
 BY_PATHS = [
     "a14_subtree_stats",
     "a15_excluded_in_subtree",
+    "j11_copy_updates",
 ]
 
 
