@@ -38,3 +38,8 @@ BY_PATHS = [
 @pytest.mark.parametrize("name", BY_PATHS)
 def test_no_join_by_ids(spark, name):
     assert not keyed_by_ids(spark, name)
+
+
+def test_invalidated_state_without_ids(whole):
+    gone = retry.invalidate(whole, whole.src.where("path = '/ASIA'").select("id"))
+    assert gone.both is not None and gone.src.where("path LIKE '/ASIA/%'").isEmpty() and gone.pairs.count() < whole.pairs.count()
