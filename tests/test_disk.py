@@ -43,3 +43,13 @@ def test_no_join_by_ids(spark, name):
 def test_invalidated_state_without_ids(whole):
     gone = retry.invalidate(whole, whole.src.where("path = '/ASIA'").select("id"))
     assert gone.both is not None and gone.src.where("path LIKE '/ASIA/%'").isEmpty() and gone.pairs.count() < whole.pairs.count()
+
+
+def test_differences_in_passes(whole, monkeypatch):
+    from treeflow.operators import etl
+    from treeflow.plans import store
+
+    changed, columns = catalog.varied(whole.src), ["traversal_status"]
+    want = sorted(map(tuple, etl.differences(whole.src, changed, columns).collect()))
+    monkeypatch.setattr(store, "ROWS_A_PASS", 2000)
+    assert sorted(map(tuple, etl.differences_by_path(whole.src, changed, columns, whole.src.count()).collect())) == want and want
