@@ -53,3 +53,8 @@ def test_differences_in_passes(whole, monkeypatch):
     want = sorted(map(tuple, etl.differences(whole.src, changed, columns).collect()))
     monkeypatch.setattr(store, "ROWS_A_PASS", 2000)
     assert sorted(map(tuple, etl.differences_by_path(whole.src, changed, columns, whole.src.count()).collect())) == want and want
+
+
+def test_state_without_ids(whole):
+    """p01_tasks and p02_task_nodes read the state alone: its files have no ids."""
+    assert not IDS & set(whole.both.columns) and set(engine.COLUMNS) == set(whole.src.columns)
