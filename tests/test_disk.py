@@ -58,3 +58,11 @@ def test_differences_in_passes(whole, monkeypatch):
 def test_state_without_ids(whole):
     """p01_tasks and p02_task_nodes read the state alone: its files have no ids."""
     assert not IDS & set(whole.both.columns) and set(engine.COLUMNS) == set(whole.src.columns)
+
+
+def test_ids_are_made_on_reading(whole):
+    """For p02_task_nodes: ids that are left out come from side and path again."""
+    from treeflow.functions.scalar import node_id
+
+    nodes = catalog.nodes_of(whole)
+    assert nodes.where(nodes["id"] != node_id(nodes["side"], nodes["path"])).isEmpty() and whole.both is not None
