@@ -32,6 +32,7 @@ BY_PATHS = [
     "a14_subtree_stats",
     "a15_excluded_in_subtree",
     "j11_copy_updates",
+    "p06_status_flatten",
 ]
 
 
