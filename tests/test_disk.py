@@ -33,6 +33,7 @@ BY_PATHS = [
     "a15_excluded_in_subtree",
     "j11_copy_updates",
     "p06_status_flatten",
+    "p07_dst_nodes_table",
 ]
 
 
