@@ -34,6 +34,7 @@ BY_PATHS = [
     "j11_copy_updates",
     "p06_status_flatten",
     "p07_dst_nodes_table",
+    "p07_src_nodes_table",
 ]
 
 

@@ -336,7 +336,7 @@ def _t13(s, spark, sf):
 TABLE_SQL = """SELECT n.id, service_id, n.parent_id, parent_service_id, parent_path, name, path, sha256(path) AS path_hash, coalesce(c.child_ids, '') AS child_ids, type, size, mtime, depth,
   traversal_status, copy_status, p.{other} FROM {side} n LEFT JOIN pairs p ON p.{mine} = n.id
   LEFT JOIN (SELECT parent_id, '["' || string_agg(id, '","' ORDER BY id) || '"]' AS child_ids FROM {side} WHERE parent_id <> '' GROUP BY parent_id) c ON c.parent_id = n.id"""
-on_state("p07_src_nodes_table", TABLE_SQL.format(side="src", mine="src_id", other="dst_id"))(lambda s, *_: etl.to_table(s.src, s.pairs, "SRC"))
+on_state("p07_src_nodes_table", TABLE_SQL.format(side="src", mine="src_id", other="dst_id"))(lambda s, *_: _table_of(s, "SRC"))
 on_state("p07_dst_nodes_table", TABLE_SQL.format(side="dst", mine="dst_id", other="src_id"))(lambda s, *_: _table_of(s, "DST"))
 on_state("p06_status_flatten", "SELECT id, CASE WHEN depth = 2 AND name < 'F' THEN 'excluded_explicit' WHEN EXISTS (SELECT 1 FROM src e WHERE e.depth = 2 AND e.name < 'F' AND starts_with(s.path, e.path || '/')) THEN 'excluded_inherited' ELSE traversal_status END AS status FROM src s")(
     lambda s, *_: closure.inherit_exclusion(state.set_excluded(s.src, s.src.where("depth = 2 AND name < 'F'"))).select("id", etl.flat_status(F.col("explicit_excluded"), F.col("inherited_excluded"), F.col("traversal_status")).alias("status"))
