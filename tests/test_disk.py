@@ -35,6 +35,7 @@ BY_PATHS = [
     "p06_status_flatten",
     "p07_dst_nodes_table",
     "p07_src_nodes_table",
+    "p08_roundtrip_pairs",
 ]
 
 
