@@ -36,6 +36,7 @@ BY_PATHS = [
     "p07_dst_nodes_table",
     "p07_src_nodes_table",
     "p08_roundtrip_pairs",
+    "u05_delete_pairs",
 ]
 
 

@@ -303,7 +303,7 @@ def _deltas(nodes: DataFrame) -> DataFrame:
 
 on_state("u03_upsert", "SELECT id, CASE WHEN depth = 3 THEN 'failed' ELSE traversal_status END AS traversal_status FROM src")(lambda s, *_: state.upsert(s.src, s.src.where("depth = 3").withColumn("traversal_status", F.lit("failed"))).select("id", "traversal_status"))
 on_state("u05_batch_delete", "SELECT id FROM src WHERE NOT (depth = 5 AND size % 2 = 0)")(lambda s, *_: state.delete(s.src, s.src.where("depth = 5 AND size % 2 = 0")).select("id"))
-on_state("u05_delete_pairs", "SELECT src_id, dst_id FROM pairs WHERE src_id NOT IN (SELECT id FROM src WHERE depth = 5)")(lambda s, *_: state.delete_pairs(s.pairs, s.src.where("depth = 5"), "SRC"))
+on_state("u05_delete_pairs", "SELECT src_id, dst_id FROM pairs WHERE src_id NOT IN (SELECT id FROM src WHERE depth = 5)")(lambda s, *_: _kept_pairs(s))
 on_state("u07_delete_subtree", "SELECT id FROM src WHERE NOT starts_with(path, '/ASIA/')")(lambda s, *_: closure.delete_subtree(s.src, s.src.where("path = '/ASIA'").select("id")).select("id"))
 on_state("u08_transition", "SELECT id, CASE WHEN depth = 3 AND traversal_status = 'successful' THEN 'pending' ELSE traversal_status END AS traversal_status FROM dst")(lambda s, *_: state.transition(s.dst, s.dst.where("depth = 3"), "pending", "successful").select("id", "traversal_status"))
 on_state("u09_transition_batch", "SELECT id, CASE depth WHEN 3 THEN 'failed' WHEN 4 THEN 'pending' ELSE traversal_status END AS traversal_status FROM src")(
