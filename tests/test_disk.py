@@ -71,3 +71,15 @@ def test_ids_are_made_on_reading(whole):
 
     nodes = catalog.nodes_of(whole)
     assert nodes.where(nodes["id"] != node_id(nodes["side"], nodes["path"])).isEmpty() and whole.both is not None
+
+
+def test_failures_without_the_loop(spark):
+    from helpers import listing
+
+    rows = [("/a",), ("/a/x", "file"), ("/b",), ("/b/c",), ("/b/c/d", "file")]
+    src, dst, bad = listing(spark, *rows), listing(spark, *rows, ("/a/y", "file")), lambda f: f.where("path = '/b' AND side = 'SRC' OR path = '/a'")
+    one, a, b = engine.reconcile(src, dst, bad), engine.laid_out(src), engine.laid_out(dst)
+    loop = engine.advance(engine.seed(a.where("_depth = 0"), b.where("_depth = 0")), a, b, bad)
+    assert one.both is not None and one.rounds == loop.rounds
+    for name in ("src", "dst", "pairs"):
+        assert sorted(map(repr, getattr(one, name).collect())) == sorted(map(repr, getattr(loop, name).collect()))
