@@ -37,6 +37,7 @@ BY_PATHS = [
     "p07_src_nodes_table",
     "p08_roundtrip_pairs",
     "u05_delete_pairs",
+    "x02_mtime_decision",
 ]
 
 

@@ -199,7 +199,7 @@ on_state("j05_pairs_last_writer", "SELECT src_id, dst_id FROM pairs")(
 )
 on_state("j11_copy_updates", "SELECT s.id, s.copy_status FROM src s JOIN pairs ON s.id = src_id WHERE s.depth > 0")(lambda s, *_: _paired(s, "SRC").where("depth > 0 AND other_id IS NOT NULL").select("id", "copy_status"))
 on_state("x02_mtime_decision", "SELECT s.id, d.mtime > s.mtime AS dst_newer FROM src s JOIN pairs ON s.id = src_id JOIN dst d ON d.id = dst_id WHERE s.type = 'file'")(
-    lambda s, *_: s.src.where("type = 'file'").select("id", F.col("mtime").alias("sm")).join(s.pairs, F.col("id") == F.col("src_id")).join(s.dst.select(F.col("id").alias("dst_id"), F.col("mtime").alias("dm")), "dst_id").select("id", scalar.newer(F.col("dm"), F.col("sm")).alias("dst_newer"))
+    lambda s, *_: _paired(s, "SRC").where("type = 'file' AND other_id IS NOT NULL").select("id", scalar.newer(F.col("other_mtime"), F.col("mtime")).alias("dst_newer"))
 )
 
 # Lookups -------------------------------------------------------------------------------------------------------------
