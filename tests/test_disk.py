@@ -38,6 +38,7 @@ BY_PATHS = [
     "p08_roundtrip_pairs",
     "u05_delete_pairs",
     "x02_mtime_decision",
+    "j05_pairs_last_writer",
 ]
 
 

@@ -195,7 +195,7 @@ on_state("j03_missing_on_dst", "SELECT path, type, depth FROM src WHERE depth >
 on_state("j02_expected_children", "SELECT p.dst_id, c.id AS child_id, c.type, c.name FROM pairs p JOIN src c ON c.parent_id = p.src_id")(lambda s, *_: compare.expected_children(s.pairs, s.src).select("dst_id", "child_id", "type", "name"))
 on_state("j05_pairs", "SELECT src_id, dst_id FROM pairs")(lambda s, *_: s.pairs)
 on_state("j05_pairs_last_writer", "SELECT src_id, dst_id FROM pairs")(
-    lambda s, *_: state.put_pairs(s.pairs, s.pairs.withColumn("seq", F.lit(1)))
+    lambda s, *_: _last_pairs(s)
 )
 on_state("j11_copy_updates", "SELECT s.id, s.copy_status FROM src s JOIN pairs ON s.id = src_id WHERE s.depth > 0")(lambda s, *_: _paired(s, "SRC").where("depth > 0 AND other_id IS NOT NULL").select("id", "copy_status"))
 on_state("x02_mtime_decision", "SELECT s.id, d.mtime > s.mtime AS dst_newer FROM src s JOIN pairs ON s.id = src_id JOIN dst d ON d.id = dst_id WHERE s.type = 'file'")(
