@@ -85,3 +85,13 @@ def test_failures_without_the_loop(spark):
     assert one.both is not None and one.rounds == loop.rounds
     for name in ("src", "dst", "pairs"):
         assert sorted(map(repr, getattr(one, name).collect())) == sorted(map(repr, getattr(loop, name).collect()))
+
+
+def test_sweep_without_the_loop(spark, whole):
+    from treeflow.sources import star_tree
+
+    gone = retry.invalidate(whole, whole.src.where("path = '/ASIA'").select("id"))
+    again = retry.sweep(gone, star_tree.src_listing(spark, f"{DATA}/sf0.001"), star_tree.dst_listing(spark, f"{DATA}/sf0.001"))
+    assert again.both is not None
+    for name in ("src", "dst", "pairs"):
+        assert getattr(again, name).exceptAll(getattr(whole, name)).isEmpty() and getattr(again, name).count() == getattr(whole, name).count()
