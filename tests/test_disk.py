@@ -39,6 +39,7 @@ BY_PATHS = [
     "u05_delete_pairs",
     "x02_mtime_decision",
     "j05_pairs_last_writer",
+    "a12_join_coverage",
 ]
 
 

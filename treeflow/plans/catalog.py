@@ -347,7 +347,7 @@ on_state("p08_roundtrip_pairs", "SELECT src_id, dst_id FROM pairs")(lambda s, *_
 on_state("j15_differences", "SELECT id, 'traversal_status' AS fields FROM varied WHERE id IN (SELECT id FROM nodes n WHERE n.traversal_status <> varied.traversal_status)")(lambda s, *_: _differences(s))
 on_state("a11_status_parity", "SELECT depth, traversal_status, a AS left_count, b AS right_count FROM (SELECT depth, traversal_status, sum(x) AS a, sum(y) AS b FROM (SELECT depth, traversal_status, CAST(1 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y FROM src UNION ALL SELECT depth, traversal_status, 0, 1 FROM varied WHERE side = 'SRC') GROUP BY ALL) WHERE a <> b".replace("a AS left_count, b AS right_count", "CAST(a AS BIGINT) AS left_count, CAST(b AS BIGINT) AS right_count"))(lambda s, *_: stats.parity(s.src, varied(s.src), "depth", "traversal_status"))
 on_state("a12_join_coverage", "SELECT (SELECT count(*) FROM pairs) AS pairs, (SELECT count(*) FROM src JOIN pairs ON id = src_id) AS src_with_dst, (SELECT count(*) FROM dst JOIN pairs ON id = dst_id) AS dst_with_src")(
-    lambda s, *_: s.pairs.agg(F.count("*").alias("pairs")).crossJoin(etl.to_table(s.src, s.pairs, "SRC").agg(F.count("dst_id").alias("src_with_dst"))).crossJoin(etl.to_table(s.dst, s.pairs, "DST").agg(F.count("src_id").alias("dst_with_src")))
+    lambda s, *_: s.pairs.agg(F.count("*").alias("pairs")).crossJoin(_table_of(s, "SRC").agg(F.count("dst_id").alias("src_with_dst"))).crossJoin(_table_of(s, "DST").agg(F.count("src_id").alias("dst_with_src")))
 )
 on_state("j14_sample_missing", "SELECT id FROM (SELECT id, depth FROM src ORDER BY sha256(id) LIMIT 100) WHERE depth = 5 AND right(id, 1) < '8'")(
     lambda s, *_: etl.missing_samples(lookups.sample(s.src), etl.to_table(s.src.where("NOT (depth = 5 AND right(id, 1) < '8')"), s.pairs, "SRC"))
