@@ -40,6 +40,7 @@ BY_PATHS = [
     "x02_mtime_decision",
     "j05_pairs_last_writer",
     "a12_join_coverage",
+    "j02_expected_children",
 ]
 
 

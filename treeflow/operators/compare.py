@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import newer
+from ..functions.scalar import newer, node_id
 
 
 def one_each(rows: DataFrame, *keys: str) -> DataFrame:
@@ -15,6 +15,10 @@ def one_each(rows: DataFrame, *keys: str) -> DataFrame:
 
 def expected_children(matched: DataFrame, src_nodes: DataFrame) -> DataFrame:
     """Source children of the destination folders in ``matched`` (``dst_id, src_id``); folders without a pair expect none."""
+    if "src_path" in matched.columns:  # ids follow from paths
+        folders = matched.where("type = 'folder'").select(F.col("src_path").alias("parent_path"), "dst_path")
+        kids = src_nodes.where("path <> '/'").select("parent_path", "path", "type", "name", "mtime").join(folders, "parent_path")
+        return kids.select(node_id("DST", F.col("dst_path")).alias("dst_id"), node_id("SRC", F.col("parent_path")).alias("src_id"), node_id("SRC", F.col("path")).alias("child_id"), "type", "name", "mtime")
     kids = src_nodes.select(F.col("parent_id").alias("src_id"), F.col("id").alias("child_id"), "type", "name", "mtime")
     return matched.select("dst_id", "src_id").join(kids, "src_id")
 

@@ -192,7 +192,7 @@ def _u16(spark, sf_dir):
 on_state("j03_dst_status_by_depth", "SELECT depth, traversal_status, count(*) AS nodes FROM dst GROUP BY ALL")(lambda s, *_: s.dst.groupBy("depth", "traversal_status").agg(F.count("*").alias("nodes")))
 on_state("j03_not_on_src_list", "SELECT path, type, depth FROM dst WHERE traversal_status = 'not_on_src'")(lambda s, *_: s.dst.where("traversal_status = 'not_on_src'").select("path", "type", "depth"))
 on_state("j03_missing_on_dst", "SELECT path, type, depth FROM src WHERE depth > 0 AND id NOT IN (SELECT src_id FROM pairs)")(lambda s, *_: compare.missing_on_dst(s.src, s.pairs).select("path", "type", "depth"))
-on_state("j02_expected_children", "SELECT p.dst_id, c.id AS child_id, c.type, c.name FROM pairs p JOIN src c ON c.parent_id = p.src_id")(lambda s, *_: compare.expected_children(s.pairs, s.src).select("dst_id", "child_id", "type", "name"))
+on_state("j02_expected_children", "SELECT p.dst_id, c.id AS child_id, c.type, c.name FROM pairs p JOIN src c ON c.parent_id = p.src_id")(lambda s, *_: compare.expected_children(_pairs(s), s.src).select("dst_id", "child_id", "type", "name"))
 on_state("j05_pairs", "SELECT src_id, dst_id FROM pairs")(lambda s, *_: s.pairs)
 on_state("j05_pairs_last_writer", "SELECT src_id, dst_id FROM pairs")(
     lambda s, *_: _last_pairs(s)
