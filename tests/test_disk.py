@@ -41,6 +41,7 @@ BY_PATHS = [
     "j05_pairs_last_writer",
     "a12_join_coverage",
     "j02_expected_children",
+    "p08_roundtrip",
 ]
 
 

@@ -342,7 +342,7 @@ on_state("p06_status_flatten", "SELECT id, CASE WHEN depth = 2 AND name < 'F' TH
     lambda s, *_: closure.inherit_exclusion(state.set_excluded(s.src, s.src.where("depth = 2 AND name < 'F'"))).select("id", etl.flat_status(F.col("explicit_excluded"), F.col("inherited_excluded"), F.col("traversal_status")).alias("status"))
 )
 on_state("u19_tables_roundtrip", f"SELECT {NODE_COLUMNS}, coalesce(dst_id, '') AS dst_id FROM src LEFT JOIN pairs ON id = src_id")(lambda s, spark, _: _through_tables(s, spark))
-on_state("p08_roundtrip", f"SELECT {NODE_COLUMNS} FROM dst")(lambda s, *_: etl.from_table(etl.to_table(s.dst, s.pairs, "DST"), "DST")[0])
+on_state("p08_roundtrip", f"SELECT {NODE_COLUMNS} FROM dst")(lambda s, *_: etl.from_table(_table_of(s, "DST"), "DST")[0])
 on_state("p08_roundtrip_pairs", "SELECT src_id, dst_id FROM pairs")(lambda s, *_: etl.from_table(_table_of(s, "SRC"), "SRC")[1])
 on_state("j15_differences", "SELECT id, 'traversal_status' AS fields FROM varied WHERE id IN (SELECT id FROM nodes n WHERE n.traversal_status <> varied.traversal_status)")(lambda s, *_: _differences(s))
 on_state("a11_status_parity", "SELECT depth, traversal_status, a AS left_count, b AS right_count FROM (SELECT depth, traversal_status, sum(x) AS a, sum(y) AS b FROM (SELECT depth, traversal_status, CAST(1 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y FROM src UNION ALL SELECT depth, traversal_status, 0, 1 FROM varied WHERE side = 'SRC') GROUP BY ALL) WHERE a <> b".replace("a AS left_count, b AS right_count", "CAST(a AS BIGINT) AS left_count, CAST(b AS BIGINT) AS right_count"))(lambda s, *_: stats.parity(s.src, varied(s.src), "depth", "traversal_status"))
