@@ -42,6 +42,7 @@ BY_PATHS = [
     "a12_join_coverage",
     "j02_expected_children",
     "p08_roundtrip",
+    "u07_delete_subtree",
 ]
 
 
