@@ -43,6 +43,7 @@ BY_PATHS = [
     "j02_expected_children",
     "p08_roundtrip",
     "u07_delete_subtree",
+    "u12_inherited_exclusion",
 ]
 
 
