@@ -100,3 +100,56 @@ def test_sweep_without_the_loop(spark, whole):
     assert again.both is not None
     for name in ("src", "dst", "pairs"):
         assert getattr(again, name).exceptAll(getattr(whole, name)).isEmpty() and getattr(again, name).count() == getattr(whole, name).count()
+
+
+def rows_of(df):
+    columns = sorted(df.columns)
+    return sorted(map(repr, df.select(*columns).collect()))
+
+
+def test_roundtrip_through_tables_without_ids(spark, whole):
+    """u19_tables_roundtrip: neither side's table is joined by ids."""
+    assert not keyed_by_ids(spark, "u19_tables_roundtrip")
+
+
+def test_written_tables_hold_no_ids(spark, whole, tmp_path, monkeypatch):
+    """What follows from paths isn't in the files, in however many parts they are written; all columns come back."""
+    from treeflow.operators import etl, stats
+    from treeflow.plans import store
+    from treeflow.schema import LOGS, QUEUE_STATS
+
+    root, more = str(tmp_path / "t"), [spark.createDataFrame([], s) for s in ("bucket_path string, count long", QUEUE_STATS, LOGS)]
+    parts = [[engine.with_partners(whole.both, side, True, (i, 3)) for i in range(3)] for side in ("SRC", "DST")]
+    etl.write_tables(spark, root, *parts, None, *more)
+    monkeypatch.setattr(store, "ROWS_A_PASS", 2000)
+    for name, side in etl.SIDES.items():
+        held = spark.read.parquet(f"{root}/{name}")
+        assert held.where("id IS NOT NULL OR parent_id IS NOT NULL OR path_hash IS NOT NULL OR child_ids IS NOT NULL OR dst_id IS NOT NULL".replace("dst_id", etl._other(side)[0])).isEmpty()
+        assert rows_of(etl.read_table(spark, root, name)) == rows_of(etl.to_table(getattr(whole, side.lower()), whole.pairs, side))
+    assert rows_of(etl.read_tables(spark, root)["pairs"]) == rows_of(whole.pairs)
+    assert rows_of(stats.bucket_stats(catalog.nodes_of(whole), whole.pairs, etl.parents(spark, root))) == rows_of(stats.bucket_stats(catalog.nodes_of(whole), whole.pairs))
+    want = whole.src.join(whole.pairs.withColumnRenamed("src_id", "id"), "id", "left").fillna("", ["dst_id"])
+    assert rows_of(etl.paired_nodes(spark, root)) == rows_of(want)
+
+
+def test_tables_of_other_ids(spark, tmp_path):
+    """Ids and pairs that don't follow from paths are kept as they are; pairs of either table count."""
+    from helpers import listing
+    from pyspark.sql import functions as F
+
+    from treeflow.operators import etl
+    from treeflow.schema import LOGS, QUEUE_STATS
+
+    done = engine.reconcile(listing(spark, ("/a",), ("/a/x", "file"), ("/b",)), listing(spark, ("/a",), ("/b",)))
+    src = done.src.withColumns({c: F.when(F.col(c) != "", F.substring(c, 1, 9)).otherwise("") for c in ("id", "parent_id")}).withColumn("service_id", F.lit("s"))
+    pairs = done.pairs.withColumn("src_id", F.substring("src_id", 1, 9))
+    root, more = str(tmp_path / "t"), [spark.createDataFrame([], s) for s in ("bucket_path string, count long", QUEUE_STATS, LOGS)]
+    etl.write_tables(spark, root, src, done.dst, pairs, *more)
+    back = etl.read_tables(spark, root)
+    assert rows_of(back["src"]) == rows_of(src) and rows_of(back["pairs"]) == rows_of(pairs)
+    assert rows_of(etl.read_table(spark, root, "src_nodes")) == rows_of(etl.to_table(src, pairs, "SRC"))
+    want = src.join(pairs.withColumnRenamed("src_id", "id"), "id", "left").fillna("", ["dst_id"])
+    assert rows_of(etl.paired_nodes(spark, root)) == rows_of(want)
+    etl.write_tables(spark, root, src, done.dst, pairs.limit(0), *more)  # no pairs in either
+    etl.save(etl.compact(done.dst, done.pairs, "DST"), f"{root}/dst_nodes", "depth", mode="overwrite")  # now the destination's alone
+    assert rows_of(etl.read_tables(spark, root)["pairs"]) == rows_of(done.pairs)

@@ -22,17 +22,20 @@ def copy_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("type", "copy_status").agg(F.count("*").alias("nodes"))
 
 
-def bucket_stats(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``bucket_path, count``: nodes, status, copy status and children buckets of each side, and the pair maps."""
+def bucket_stats(nodes: DataFrame, pairs: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+    """``bucket_path, count``: nodes, status, copy status and children buckets of each side, and the pair maps. ``parents``: ``side`` and
+    the number ``n`` of its nodes with children, where that is counted already."""
     level = level_name(F.col("depth"))
     parts = [
         nodes.select(bucket_path("Traversal-Data", F.col("side"), "nodes").alias("bucket_path")),
         nodes.select(bucket_path("Traversal-Data", F.col("side"), "levels", level, "traversal", F.col("traversal_status"))),
         nodes.where("side = 'SRC' AND copy_status <> ''").select(bucket_path("Traversal-Data", F.col("side"), "levels", level, "copy", F.col("copy_status"))),
-        nodes.where("parent_id <> ''").select("side", "parent_id").distinct().select(bucket_path("Traversal-Data", F.col("side"), "children")),
+        None if parents is not None else nodes.where("parent_id <> ''").select("side", "parent_id").distinct().select(bucket_path("Traversal-Data", F.col("side"), "children")),
         pairs.select(F.lit("Traversal-Data/SRC/src-to-dst")), pairs.select(F.lit("Traversal-Data/DST/dst-to-src")),
     ]
-    counted = [p.toDF("bucket_path").groupBy("bucket_path").agg(F.count("*").alias("count")) for p in parts]
+    counted = [p.toDF("bucket_path").groupBy("bucket_path").agg(F.count("*").alias("count")) for p in parts if p is not None]
+    if parents is not None:
+        counted.append(parents.groupBy(bucket_path("Traversal-Data", F.col("side"), "children").alias("bucket_path")).agg(F.sum("n").alias("count")))
     out = counted[0]
     for p in counted[1:]:
         out = out.unionByName(p)

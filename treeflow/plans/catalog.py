@@ -16,7 +16,7 @@ from ..operators import closure, compare, etl, expand, logs, lookups, metrics, r
 from ..schema import LOGS, QUEUE_STATS
 from ..sources import star_tree
 from . import engine
-from .store import written
+from .store import passes, written
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -366,10 +366,13 @@ def _through_tables(s, spark) -> DataFrame:
     from .store import shared_dir
 
     root = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
-    counts = stats.bucket_stats(nodes_of(s), s.pairs)
-    etl.write_tables(spark, root, s.src, s.dst, s.pairs, counts, spark.createDataFrame([], QUEUE_STATS), spark.createDataFrame([], LOGS))
-    back = etl.read_tables(spark, root)
-    return lookups.partner(back["pairs"], back["src"]).withColumnRenamed("other_id", "dst_id").join(back["src"], "id")
+    sides = (s.src, s.dst)
+    if s.both is not None:
+        n = passes(s.both.count())
+        sides = [[engine.with_partners(s.both, side, True, (i, n)) for i in range(n)] for side in ("SRC", "DST")]
+    counts = lambda: stats.bucket_stats(nodes_of(s), s.pairs, etl.parents(spark, root) if s.both is not None else None)
+    etl.write_tables(spark, root, *sides, s.pairs, counts, spark.createDataFrame([], QUEUE_STATS), spark.createDataFrame([], LOGS))
+    return etl.paired_nodes(spark, root)
 
 
 # Functions -----------------------------------------------------------------------------------------------------------

@@ -239,13 +239,20 @@ def _rounds(both: DataFrame) -> list[tuple[str, int, int, int]]:
     return [(side, d, levels[side, d].open, levels[side, d + 1].n if (side, d + 1) in levels else 0) for d in sorted({d for _, d in levels}) for side in ("SRC", "DST") if (side, d) in levels and levels[side, d].open]
 
 
-def with_partners(both: DataFrame, side: str, lists: bool = False) -> DataFrame:
+def with_partners(both: DataFrame, side: str, lists: bool = False, part: tuple[int, int] = (0, 1)) -> DataFrame:
     """A side's nodes with ``other_path``, ``other_id`` and ``other_mtime`` of their pairs, and with ``lists`` the paths of their
-    children (``child_paths``; only folders have any). Rows are joined before ids are made."""
-    rows = _side(both, side[0].lower())
+    children (``child_paths``; only folders have any). Rows are joined before ids are made. ``part``: i and n, for the nodes in the
+    i-th of n parts of the paths."""
+    rows = every = _side(both, side[0].lower())
+
+    def mine(path: str) -> Column:
+        return F.pmod(F.xxhash64(path), F.lit(part[1])) == part[0]
+
+    rows = rows.where(mine("path")) if part[1] > 1 else rows
     extra = ["other_path", "other_id", "other_mtime"] + ["child_paths"] * lists
     if lists:
-        kids = unpacked(rows, _listed()).where("parent_path <> ''").groupBy(F.col("parent_path").alias("_p")).agg(F.collect_list("path").alias("child_paths"))
+        kids = unpacked(every, _listed()).where("parent_path <> ''")
+        kids = (kids.where(mine("parent_path")) if part[1] > 1 else kids).groupBy(F.col("parent_path").alias("_p")).agg(F.collect_list("path").alias("child_paths"))
         folder = F.coalesce(F.col("type") == "folder", F.lit(False))
         rows = rows.where(folder).join(kids, F.col("path") == F.col("_p"), "left").drop("_p").unionByName(rows.where(~folder).withColumn("child_paths", F.lit(None).cast("array<string>")))
     other = "DST" if side == "SRC" else "SRC"

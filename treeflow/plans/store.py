@@ -35,10 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
 ROWS_A_PASS = 16_000_000
 
 
+def passes(rows: int) -> int:
+    return max(1, -(-rows // ROWS_A_PASS))
+
+
 def in_passes(rows: int, part, label: str) -> DataFrame:
     """``part(i, n)`` for each i below n written to one table, one after another, so that the disk holds the shuffle files of one part
     at a time. n grows with ``rows``; the parts together must be the whole."""
-    n = max(1, -(-rows // ROWS_A_PASS))
+    n = passes(rows)
     return reduce(DataFrame.unionByName, [written(part(i, n), label) for i in range(n)])
 
 
@@ -47,14 +51,20 @@ def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     shuffle files of the write go as soon as it ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    save(df, path, *partition_by)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def save(df: DataFrame, path: str, *partition_by: str, mode: str = "error") -> None:
+    """``df`` written to ``path``; the shuffle files of the write go as soon as it ends."""
+    spark = df.sparkSession
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        writer.option("compression", "zstd").parquet(path)
+        writer.mode(mode).option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(*tables: DataFrame) -> None:
@@ -71,10 +81,11 @@ def few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= FEW else rows
 
 
-def packed(rows: DataFrame, derived: dict[str, Column]) -> DataFrame:
+def packed(rows: DataFrame, derived: dict[str, Column], known: dict[str, Column] | None = None) -> DataFrame:
     """``rows`` with the columns of ``derived`` null where they are what the expression gives; ``_own`` has a bit for each that isn't.
-    Ids and parents that follow from a path so take no space in files and shuffles."""
-    same = {c: F.col(c).eqNullSafe(e) for c, e in derived.items()}
+    Ids and parents that follow from a path so take no space in files and shuffles. ``known``: for some columns, a cheaper condition
+    for being what the expression gives."""
+    same = {c: known[c] if known and c in known else F.col(c).eqNullSafe(e) for c, e in derived.items()}
     own = reduce(lambda a, b: a + b, [F.when(x, 0).otherwise(1 << i) for i, x in enumerate(same.values())])
     return rows.withColumns({c: F.when(~x, F.col(c)) for c, x in same.items()} | {"_own": own})
 
