@@ -92,6 +92,29 @@ def test_failures_without_the_loop(spark):
         assert sorted(map(repr, getattr(one, name).collect())) == sorted(map(repr, getattr(loop, name).collect()))
 
 
+def test_listings_go_as_they_are_joined(spark, monkeypatch):
+    """u16_failed_listing: a part of both listings is deleted when its pass is over, so that disk holds an entry in a listing or in the
+    state. A part that is too large for a pass is joined in several."""
+    import glob
+
+    from treeflow.plans import store
+
+    want, joined, left = rows_of(catalog.QUERIES["u16_failed_listing"](spark, f"{DATA}/sf0.001")), engine._joined, []
+
+    def counted(*args):
+        left.append(len({f.rsplit("/", 1)[0] for f in glob.glob(f"{store.shared_dir(spark)}/listing-*/_part=*/*.parquet")} - before))
+        return joined(*args)
+
+    before = {f.rsplit("/", 1)[0] for f in glob.glob(f"{store.shared_dir(spark)}/listing-*/_part=*/*.parquet")}
+    monkeypatch.setattr(engine, "_joined", counted)
+    for rows, passes in ((1_000, range(9, 40)), (3_500, range(3, 9)), (10**6, [1])):
+        monkeypatch.setattr(store, "ROWS_A_PASS", rows)
+        left.clear()
+        assert rows_of(catalog.QUERIES["u16_failed_listing"](spark, f"{DATA}/sf0.001")) == want
+        assert len(left) in passes and left[0] == 16 and left == sorted(left, reverse=True) and (left[-1] < 16) == (len(left) > 1)
+        assert not {f.rsplit("/", 1)[0] for f in glob.glob(f"{store.shared_dir(spark)}/listing-*/_part=*/*.parquet")} - before
+
+
 def test_sweep_without_the_loop(spark, whole):
     from treeflow.sources import star_tree
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import last_name, newer, node_id, normalise_path, parent_of, path_depth
 from ..operators import compare, expand
 from ..schema import NODES
-from .store import dropped, few, in_passes, packed, unpacked, written
+from .store import PART, dropped, few, grouped_parts, in_passes, packed, part_of, unpacked, written
 
 COLUMNS = [f.name for f in NODES]
 
@@ -57,7 +57,7 @@ def reconcile(src_listing: DataFrame, dst_listing: DataFrame, failing: Callable[
     """Expand both trees from their roots and compare them. ``failing`` picks, of a frontier, the folders whose listing
     fails for good; ``stop`` is asked before each level (suspend)."""
     if stop is None:
-        raw = [written(pack(listing), "listing") for listing in (src_listing, dst_listing)]
+        raw = [written(pack(listing, parts=True), "listing", PART) for listing in (src_listing, dst_listing)]
         src_listing, dst_listing = (unpacked(r, _listed()) for r in raw)
         if _each_once(src_listing) and _each_once(dst_listing):
             done = at_once(*raw, failing)
@@ -77,9 +77,11 @@ def _listed() -> dict[str, Column]:
     return dict(zip(LISTED, (parent_of(path), last_name(path), path, parent_of(path))))
 
 
-def pack(listing: DataFrame) -> DataFrame:
-    """A listing without what its paths give."""
-    return packed(_shaped(listing), _listed())
+def pack(listing: DataFrame, parts: bool = False) -> DataFrame:
+    """A listing without what its paths give. ``parts``: with ``PART``, by parents, so that pairs are in the same part and a folder's
+    entries stay together, which takes less space."""
+    shaped = _shaped(listing)
+    return packed(shaped.withColumn(PART, part_of("parent_path")) if parts else shaped, _listed())
 
 
 def unpack(raw: DataFrame) -> DataFrame:
@@ -153,7 +155,8 @@ def _entries(listing: DataFrame, side: str, status, copy_status, more: tuple[str
 def at_once(src_raw: DataFrame, dst_raw: DataFrame, failing: Callable[[DataFrame], DataFrame] | None = None, tops: DataFrame | None = None) -> State:
     """The state that expanding and comparing from the roots gives, for listings that are whole (written, packed by ``_listed``).
     One full join of both sides, of what a path doesn't give; ids are made when they are read. ``failing`` must pick folders
-    by their rows alone. ``tops``: folders (``path``) that take the place of the roots, for parts of trees."""
+    by their rows alone. ``tops``: folders (``path``) that take the place of the roots, for parts of trees. Listings that are laid
+    out by ``PART`` are used up: a part is deleted as soon as it is joined."""
     own_place = F.col("_own").bitwiseAND(F.lit(3)) != 0  # a parent or a name that isn't the path's
     keys = ["path", "type"] if src_raw.where(own_place).isEmpty() and dst_raw.where(own_place).isEmpty() else ["parent_path", "name", "type"]
 
@@ -173,8 +176,8 @@ def at_once(src_raw: DataFrame, dst_raw: DataFrame, failing: Callable[[DataFrame
     bad_src = failed(src, "SRC")
     src = _without(src, bad_src) if failing else src
     theirs = src.where("type = 'folder'").select(*at)
-    closed = dst.where("type = 'folder'").join(theirs, at, "left_anti").select("path").unionByName(_orphaned(unpacked(dst_raw, _listed()), tops))
-    dst = _without(dst, written(closed, "closed"))
+    closed = [written(dst.where("type = 'folder'").join(theirs, at, "left_anti").select("path"), "closed"), written(_orphaned(unpacked(dst_raw, _listed()), tops), "orphaned")]  # one after another
+    dst = _without(dst, _union(closed))
     bad_dst = failed(dst.join(theirs, at, "left_semi"), "DST") if failing else None
     dst = _without(dst, bad_dst) if failing else dst
 
@@ -185,8 +188,18 @@ def at_once(src_raw: DataFrame, dst_raw: DataFrame, failing: Callable[[DataFrame
         return rows.select(*at, F.lit(True).alias(f"{x}_there"), *[F.col(c).alias(f"{x}_{c}") for c in own])
 
     bad = {x: few(b.select(F.col("path").alias(f"{x}_path"), F.lit(True).alias("_bad"))) for b, x in ((bad_src, "s"), (bad_dst, "d")) if b is not None}
-    rows = src_raw.count() + dst_raw.count()
-    return of_both(in_passes(rows, lambda i, n: _joined(*(sided(t.where(F.pmod(F.xxhash64(*at), F.lit(n)) == i), x) for t, x in ((src, "s"), (dst, "d"))), at, dict(zip(keys, at)) if plain else {}, bad), "both"))
+
+    def passed(rows: int, parts: list[int] | None = None) -> DataFrame:
+        mine = [t if parts is None else t.where(F.col(PART).isin(parts)) for t in (src, dst)]
+        return in_passes(rows, lambda i, n: _joined(*(sided(t.where(F.pmod(F.xxhash64(*at), F.lit(n)) == i), x) for t, x in zip(mine, "sd")), at, dict(zip(keys, at)) if plain else {}, bad), "both")
+
+    if PART not in src_raw.columns or PART not in dst_raw.columns:
+        return of_both(passed(src_raw.count() + dst_raw.count()))
+    done = []
+    for parts, rows in grouped_parts(src_raw, dst_raw):
+        done.append(passed(rows, parts))
+        dropped(src_raw, dst_raw, parts=parts)
+    return of_both(_union(done))
 
 
 def _joined(src: DataFrame, dst: DataFrame, at: list[str], given: dict[str, str], bad: dict[str, DataFrame]) -> DataFrame:

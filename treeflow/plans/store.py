@@ -46,6 +46,28 @@ def in_passes(rows: int, part, label: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [written(part(i, n), label) for i in range(n)])
 
 
+PART = "_part"  # column of a table that is laid out in parts
+PARTS = 8
+
+
+def part_of(*keys: str) -> Column:
+    """For ``PART``: rows with the same keys are in the same part, in whatever table."""
+    return F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")
+
+
+def grouped_parts(*tables: DataFrame) -> list[tuple[list[int], int]]:
+    """Parts that tables (written by ``PART``) have, in groups for a pass each, with their rows. A part that is too large for a pass
+    is a group of its own."""
+    counts = reduce(DataFrame.unionByName, [t.select(PART) for t in tables]).groupBy(PART).count().orderBy(PART).collect()  # PARTS rows
+    groups: list[tuple[list[int], int]] = []
+    for part, n in counts:
+        if groups and groups[-1][1] + n <= ROWS_A_PASS:
+            groups[-1] = ([*groups[-1][0], part], groups[-1][1] + n)
+        else:
+            groups.append(([part], n))
+    return groups
+
+
 def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """``df`` written to the shared folder and read back: the plan starts anew there, and lost executors cost no rerun. The
     shuffle files of the write go as soon as it ends."""
@@ -67,11 +89,13 @@ def save(df: DataFrame, path: str, *partition_by: str, mode: str = "error") -> N
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Delete the files of tables from ``written`` that nothing reads any more."""
+def dropped(*tables: DataFrame, parts: list[int] | None = None) -> None:
+    """Delete the files of tables from ``written`` that nothing reads any more: all, or those of ``parts``."""
     for table in tables:
         spark = table.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if parts is not None and folder.rsplit("/", 1)[1] not in {f"{PART}={p}" for p in parts}:
+                continue
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

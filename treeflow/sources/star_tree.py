@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import child_path, rfc3339
+from ..plans.store import few
 
 EPOCH = "2024-01-01T00:00:00Z"
 
@@ -33,15 +34,20 @@ def src_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     nation = nation.withColumn("pr", F.concat(root, F.col("r_name")))
     nations = _rows(nation, F.col("pr"), F.col("n_name"), "folder", 2, none, none, F.col("n_nationkey"))
-    place = nation.select(F.col("n_nationkey").alias("nk"), F.concat("pr", F.lit("/"), "n_name").alias("pn"))
-    customer = _t(spark, sf_dir, "customer").join(place, F.col("c_nationkey") == F.col("nk")).select("c_custkey", "pn")
-    customers = _rows(customer, F.col("pn"), F.concat(F.lit("c"), "c_custkey"), "folder", 3, none, none, F.col("c_custkey"))
+    place = few(nation.select(F.col("n_nationkey").alias("nk"), F.concat("pr", F.lit("/"), "n_name").alias("pn")))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(place, F.col("c_nationkey") == F.col("nk"))  # last, so that keys are dealt and not paths
+
+    customer = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    customers = _rows(placed(customer), F.col("pn"), F.concat(F.lit("c"), "c_custkey"), "folder", 3, none, none, F.col("c_custkey"))
     orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    orders = orders.select("o_orderkey", "o_orderdate", F.concat("pn", F.lit("/c"), "c_custkey").alias("pc"))
-    order_rows = _rows(orders, F.col("pc"), F.concat(F.lit("o"), "o_orderkey"), "folder", 4, none, F.col("o_orderdate"), F.col("o_orderkey"))
+    orders = orders.select("o_orderkey", "o_orderdate", "c_custkey", "c_nationkey")
+    pc = F.concat("pn", F.lit("/c"), "c_custkey")
+    order_rows = _rows(placed(orders), pc, F.concat(F.lit("o"), "o_orderkey"), "folder", 4, none, F.col("o_orderdate"), F.col("o_orderkey"))
     dealt = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate").repartition("l_orderkey")  # once, for the sums and the join
     lines = dealt.groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"), F.max("l_shipdate").alias("mx"))
-    lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("po", F.concat("pc", F.lit("/o"), "o_orderkey"))
+    lines = placed(lines.join(orders.select("o_orderkey", "c_custkey", "c_nationkey"), F.col("l_orderkey") == F.col("o_orderkey"))).withColumn("po", F.concat(pc, F.lit("/o"), "o_orderkey"))
     line_rows = _rows(lines, F.col("po"), F.concat(F.lit("l"), "l_linenumber"), "file", 5, F.col("q"), F.col("mx"), F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     out = top
     for part in (region, nations, customers, order_rows, line_rows):
